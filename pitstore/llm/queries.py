@@ -6,20 +6,61 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .line_dedup import dedup_lines
 from .packing import pack
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 50 words or 3 lines that stand earlier go; one row per document."""
+    return dedup_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=50, report=True).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
+
+
+OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos - 1 AS pos, ls[pos] AS line, len(regexp_extract_all(ls[pos], '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)
+), full_lines AS (
+  SELECT *, lead(words, 1) OVER w AS words2, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3,
+         lead(pos, 1) OVER w AS pos2, lead(pos, 2) OVER w AS pos3
+  FROM lines WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), windows AS (
+  SELECT doc_id, pos,
+         CASE WHEN words >= 50 THEN [line] WHEN words + words2 >= 50 THEN [line, line2] WHEN line3 IS NOT NULL THEN [line, line2, line3] END AS content,
+         CASE WHEN words >= 50 THEN [pos] WHEN words + words2 >= 50 THEN [pos, pos2] WHEN line3 IS NOT NULL THEN [pos, pos2, pos3] END AS covers
+  FROM full_lines
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS nth FROM windows WHERE content IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(covers) AS pos FROM ranked WHERE nth > 1
+), runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS n_runs
+  FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS text
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0)::BIGINT AS n_lines,
+       coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_runs, 0)::BIGINT AS n_runs
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN runs r ON r.doc_id = d.doc_id
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, length=1024)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window_id")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op6_packing, op7_simhash, op9_token_counts)}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
