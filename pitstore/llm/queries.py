@@ -3,17 +3,63 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import dedup_lines
+from .mixing import calibrated
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .toxicity import fit, score
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+N_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def topic_of(text: Column) -> Column:
+    """The corpus has no topic column: tables, and prose by its length, stand in for topics."""
+    words = F.regexp_count(text, F.lit(N_WORDS))
+    return F.when(F.contains(text, F.lit(" | ")), "table").when(words >= 400, "long").when(words >= 100, "medium").otherwise("short")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    dims = {"source": docs["source"], "lang": docs["lang"], "topic": topic_of(docs["text"])}
+    return calibrated(docs, dims, tokens=F.regexp_count(docs["text"], F.lit(N_WORDS)), power=0.9, rounds=10, seed=3)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+
+
+def _op3_sql() -> str:
+    steps, last = [], "start"
+    for k in range(30):
+        d = ("source", "lang", "topic")[k % 3]
+        steps.append(f"s{k} AS MATERIALIZED (SELECT source, lang, topic, tokens, g_source, g_lang, g_topic, w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM {last})")
+        last = f"s{k}"
+    goal = ", ".join(f"g_{d}" for d in ("source", "lang", "topic"))
+    powers = ", ".join(f"(SELECT {d}, pow(sum(tokens) / (SELECT sum(tokens) FROM cells), 0.9) AS g_{d} FROM cells GROUP BY {d}) AS {d}s" for d in ("source", "lang", "topic"))
+    joins = " AND ".join(f"c.{d} = {d}s.{d}" for d in ("source", "lang", "topic"))
+    scaled = ", ".join(f"{d}s.g_{d} / (SELECT sum(g) FROM (SELECT pow(sum(tokens) / (SELECT sum(tokens) FROM cells), 0.9) AS g FROM cells GROUP BY {d})) * (SELECT sum(tokens) FROM cells) AS g_{d}" for d in ("source", "lang", "topic"))
+    return rf"""
+WITH words AS (
+  SELECT doc_id, source, lang, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens FROM documents
+), docs AS (
+  SELECT doc_id, source, lang, tokens, CASE WHEN contains(text, ' | ') THEN 'table' WHEN tokens >= 400 THEN 'long' WHEN tokens >= 100 THEN 'medium' ELSE 'short' END AS topic FROM words
+), cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL
+), start AS (SELECT c.source, c.lang, c.topic, c.tokens, {scaled}, c.tokens AS w FROM cells c, {powers} WHERE {joins}
+), {", ".join(steps)}, fitted AS (SELECT source, lang, topic, w / tokens AS weight FROM {last})
+SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens::BIGINT AS tokens, round(weight, 6) AS weight, round(weight / (SELECT max(weight) FROM fitted), 6) AS probability,
+       (tokens = 0 OR ('0x' || substr(md5(doc_id::VARCHAR || ':3'), 1, 8))::BIGINT / 4294967296.0 < weight / (SELECT max(weight) FROM fitted)) AS kept
+FROM docs d JOIN fitted f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 50 words or 3 lines that stand earlier go; one row per document."""
     return dedup_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=50, report=True).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
@@ -49,6 +95,16 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN runs r ON r.d
 """
 
 
+CATEGORIES = ["quality", "toxic"]
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    out = score(docs, chain, CATEGORIES)
+    return out.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, length=1024)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window_id")
@@ -62,5 +118,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op6_packing, op7_simhash, op9_token_counts)}
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_line_dedup, op5_toxicity, op6_packing, op7_simhash, op9_token_counts)}
+ORACLES: dict[str, str] = {"op3_mixing": _op3_sql(), "op4_line_dedup": OP4_SQL}
