@@ -16,61 +16,84 @@ WORDS = re.compile(r"\w+")
 FIT_ROWS = 10_000
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(WORDS.findall(text.lower())) if text else set()
+def features(text: str | None) -> set[str]:
+    """The words of the lower-cased text and, marked, their first four and five letters."""
+    words = set(WORDS.findall(text.lower())) if text else set()
+    return words | {w[:4] + "-" for w in words if len(w) > 4} | {w[:5] + "-" for w in words if len(w) > 5}
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+class Rows:
+    """Documents as numbers of features; the documents behind each other, `n` features each."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, names: list[str]):
+        self.flat, self.sizes, self.names = flat, sizes, names
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+
+    def __len__(self):
+        return len(self.sizes)
+
+    def take(self, at: np.ndarray) -> Rows:
+        mask = np.zeros(len(self), bool)
+        mask[at] = True
+        return Rows(self.flat[mask[self.doc]], self.sizes[mask], self.names)
+
+
 class Linear:
-    """Logistic regression on the presence of words and on the logits of the categories before it.
+    """Logistic regression on the presence of features and on the logits of the categories before it.
 
-    Words in at least `seen` documents that pass a chi-square test stay; weights by accelerated gradient
-    descent with a ridge. One class only, or no rows: a constant.
+    Features in at least `seen` documents that pass a chi-square test stay. Columns are scaled to length one;
+    accelerated gradient descent with a ridge finds the weights. One class only, or no rows: a constant.
     """
 
-    def __init__(self, rows: list[set[str]], before: np.ndarray, y: np.ndarray, seen: int = 4, chi: float = 12.0, ridge: float = 1.0, steps: int = 120):
+    def __init__(self, rows: Rows, before: np.ndarray, y: np.ndarray, seen: int = 4, chi: float = 12.0, ridge: float = 2.0, steps: int = 200):
         self.weights: dict[str, float] = {}
         self.before = np.zeros(before.shape[1])
         self.bias = float(np.log((y.sum() + 0.01) / (len(y) - y.sum() + 1.0))) if len(y) else -30.0
         if not len(y) or y.min() == y.max():
             return
-        number: dict[str, int] = {}
-        at = np.fromiter((number.setdefault(w, len(number)) for r in rows for w in r), np.int64)
-        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        n, p = len(y), y.sum()
-        df, hit = np.bincount(at, minlength=len(number)), np.bincount(at, weights=y[doc], minlength=len(number))
+        v, n, p = len(rows.names), len(y), y.sum()
+        df, hit = np.bincount(rows.flat, minlength=v), np.bincount(rows.flat, weights=y[rows.doc], minlength=v)
         gap = hit * n - df * p
         chi2 = gap**2 / np.maximum(df * (n - df) * p * (n - p) / n, 1e-9)
         keep = np.flatnonzero((df >= seen) & (chi2 >= chi))
-        new = np.full(len(number), -1)
+        new = np.full(v, -1)
         new[keep] = np.arange(len(keep))
-        on = new[at] >= 0
-        at, doc = new[at[on]], doc[on]
-        k, c = len(keep), before.shape[1]
-        scale = before.std(0) + 1e-9 if c else np.ones(0)
-        dense = before / scale
-        longest = max(1.0, np.bincount(doc, minlength=n).max() + (dense**2).sum(1).max() + 1 if c else np.bincount(doc, minlength=n).max() + 1)
-        step = 1 / (0.25 * np.sqrt(longest * max(np.bincount(at, minlength=1).max(), 1) * n) + ridge)
-        w = np.zeros(k + c + 1)
-        w[-1] = self.bias
-        v = w.copy()
+        on = new[rows.flat] >= 0
+        at, doc, k, c = new[rows.flat[on]], rows.doc[on], len(keep), before.shape[1]
+        size = np.concatenate([np.sqrt(df[keep]), np.sqrt((before**2).sum(0)) + 1e-9, [np.sqrt(n)]])
+        value, dense = 1 / size[at], np.column_stack([before, np.ones(n)]) / size[k:]
+
+        def times(w):
+            return np.bincount(doc, weights=w[at] * value, minlength=n) + dense @ w[k:]
+
+        def back(e):
+            return np.concatenate([np.bincount(at, weights=e[doc] * value, minlength=k)[:k], dense.T @ e])
+
+        u = np.ones(k + c + 1)
+        for _ in range(20):
+            u = back(times(u / np.linalg.norm(u)))
+        pull = np.concatenate([ridge / df[keep], np.full(c, 1e-3), [0.0]])
+        step = 1 / (0.3 * np.linalg.norm(u) + ridge)
+        w = z = np.zeros(k + c + 1)
         for t in range(steps):
-            z = np.bincount(doc, weights=v[at], minlength=n) + dense @ v[k : k + c] + v[-1]
-            e = _sigmoid(z) - y
-            g = np.concatenate([np.bincount(at, weights=e[doc], minlength=k)[:k], dense.T @ e, [e.sum()]]) + ridge * np.append(v[:-1], 0)
-            last, w = w, v - step * g
-            v = w + t / (t + 3) * (w - last)
-        self.bias = float(w[-1])
-        self.before = w[k : k + c] / scale
-        named = list(number)
-        self.weights = {named[i]: float(x) for i, x in zip(keep, w)}
-
-    def logits(self, rows: list[set[str]], before: np.ndarray) -> np.ndarray:
+            g = back(_sigmoid(times(z)) - y) + pull * z
+            last, w = w, z - step * g
+            z = w + t / (t + 3) * (w - last)
+        w = w / size
+        self.bias, self.before = float(w[-1]), w[k:-1]
+        self.weights = {rows.names[i]: float(x) for i, x in zip(keep, w)}
+
+    def logits_of(self, rows: Rows, before: np.ndarray) -> np.ndarray:
+        w = np.array([self.weights.get(x, 0.0) for x in rows.names])
+        return np.bincount(rows.doc, weights=w[rows.flat], minlength=len(rows)) + before @ self.before + self.bias
+
+    def logits(self, docs: list[set[str]], before: np.ndarray) -> np.ndarray:
         known, keys = self.weights, self.weights.keys()
-        return np.array([sum(known[w] for w in sorted(keys & r)) for r in rows], float).reshape(-1) + before @ self.before + self.bias
+        return np.array([sum(known[w] for w in sorted(keys & d)) for d in docs], float).reshape(-1) + before @ self.before + self.bias
 
 
 class Chain:
@@ -80,19 +103,18 @@ class Chain:
     deserve on unseen documents.
     """
 
-    def __init__(self, rows: list[set[str]], labels: np.ndarray, folds: int = 4):
+    def __init__(self, rows: Rows, labels: np.ndarray, folds: int = 4):
         self.models: list[Linear] = []
         fold = np.arange(len(rows)) % folds
         before = np.zeros((len(rows), 0))
         for c in range(labels.shape[1]):
             known = np.flatnonzero(~np.isnan(labels[:, c]))
-            pick = lambda at: ([rows[i] for i in at], before[at])
-            self.models.append(Linear(*pick(known), labels[known, c]))
+            self.models.append(Linear(rows.take(known), before[known], labels[known, c]))
             if c + 1 < labels.shape[1]:
                 out = np.zeros(len(rows))
                 for f in range(folds):
-                    fit, rest = known[fold[known] != f], np.flatnonzero(fold == f)
-                    out[rest] = Linear(*pick(fit), labels[fit, c]).logits(*pick(rest))
+                    part, rest = known[fold[known] != f], np.flatnonzero(fold == f)
+                    out[rest] = Linear(rows.take(part), before[part], labels[part, c]).logits_of(rows.take(rest), before[rest])
                 before = np.column_stack([before, out])
 
     def probabilities(self, rows: list[set[str]]) -> np.ndarray:
@@ -116,15 +138,18 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
 
     def shrink(batches):
         for b in batches:
-            words = [" ".join(sorted(words_of(t))) for t in b.column(1).to_pylist()]
+            words = [" ".join(sorted(features(t))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.string()), *b.columns[2:]], names=b.schema.names)
 
-    seen = {}
+    number: dict[str, int] = {}
+    seen: dict = {}
     for r in joined.mapInArrow(shrink, joined.schema).toLocalIterator():
-        seen[r["id"]] = r
+        at = np.fromiter((number.setdefault(w, len(number)) for w in r["text"].split(" ") if w), np.int32)
+        seen[r["id"]] = (at, [np.nan if v is None else v for v in r[2:]])
     order = sorted(seen)
-    y = np.array([[np.nan if v is None else v for v in seen[i][2:]] for i in order], float).reshape(len(order), len(categories))
-    return Chain([set(seen[i][1].split(" ")) - {""} for i in order], y)
+    y = np.array([seen[i][1] for i in order], float).reshape(len(order), len(categories))
+    flat = np.concatenate([seen[i][0] for i in order]) if order else np.zeros(0, np.int32)
+    return Chain(Rows(flat, np.array([len(seen[i][0]) for i in order], int), list(number)), y)
 
 
 def score(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "doc_id", text_col: str = "text", prefix: str = "p_") -> DataFrame:
@@ -139,7 +164,7 @@ def score(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "d
 
     def run(batches):
         for b in batches:
-            p = model.value.probabilities([words_of(t) for t in b.column(1).to_pylist()])
+            p = model.value.probabilities([features(t) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, c]) for c in range(p.shape[1])]], names=["id", *[f"p{c}" for c in range(p.shape[1])]])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -155,7 +180,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, category: int, threshold: float =
 
     def run(batches):
         for b in batches:
-            p = model.value.probabilities([words_of(t) for t in b.column(place).to_pylist()])
+            p = model.value.probabilities([features(t) for t in b.column(place).to_pylist()])
             yield b.filter(pa.array(p[:, category] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
