@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import dedup_lines
 from .mixing import calibrated
+from .multi_index import hamming_top_k, sign_code
 from .packing import pack
+from .projections import nearest
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .toxicity import fit, score
@@ -17,6 +19,25 @@ from .toxicity import fit, score
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"), k=5, m=8, p=0.97)
+
+
+def op2_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs of the embeddings as 64-bit codes; queries: ids divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", sign_code(F.col("embedding")).alias("code"))
+    return hamming_top_k(rows, rows.where("vec_id % 20 = 0"), k=10, parts=4)
+
+
+OP2_SQL = """
+WITH bits AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS b FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) >= 64),
+codes AS (SELECT DISTINCT vec_id, array_to_string(b[1:64], '')::BIT AS code FROM bits),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INTEGER AS distance FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
 N_WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -118,5 +139,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_line_dedup, op5_toxicity, op6_packing, op7_simhash, op9_token_counts)}
-ORACLES: dict[str, str] = {"op3_mixing": _op3_sql(), "op4_line_dedup": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_hamming, op3_mixing, op4_line_dedup, op5_toxicity, op6_packing, op7_simhash, op9_token_counts)}
+ORACLES: dict[str, str] = {"op2_hamming": OP2_SQL, "op3_mixing": _op3_sql(), "op4_line_dedup": OP4_SQL}
