@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .lattice import likelihood
 from .line_dedup import dedup_lines
 from .mixing import calibrated
 from .multi_index import hamming_top_k, sign_code
@@ -16,6 +17,7 @@ from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .toxicity import fit, score
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -139,5 +141,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_hamming, op3_mixing, op4_line_dedup, op5_toxicity, op6_packing, op7_simhash, op9_token_counts)}
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood(table(spark, sf_dir, "documents"), tokenizer=PIECES, rounds=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_hamming, op3_mixing, op4_line_dedup, op5_toxicity, op6_packing, op7_simhash, op9_token_counts, op10_lattice)}
 ORACLES: dict[str, str] = {"op2_hamming": OP2_SQL, "op3_mixing": _op3_sql(), "op4_line_dedup": OP4_SQL}
