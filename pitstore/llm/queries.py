@@ -14,6 +14,7 @@ from .multi_index import hamming_top_k, sign_code
 from .packing import pack
 from .projections import nearest
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .toxicity import fit, score
 
@@ -137,6 +138,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), size=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, limit=512)
 
@@ -145,5 +151,5 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood(table(spark, sf_dir, "documents"), tokenizer=PIECES, rounds=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_hamming, op3_mixing, op4_line_dedup, op5_toxicity, op6_packing, op7_simhash, op9_token_counts, op10_lattice)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_hamming, op3_mixing, op4_line_dedup, op5_toxicity, op6_packing, op7_simhash, op8_suffix_dedup, op9_token_counts, op10_lattice)}
 ORACLES: dict[str, str] = {"op2_hamming": OP2_SQL, "op3_mixing": _op3_sql(), "op4_line_dedup": OP4_SQL}
