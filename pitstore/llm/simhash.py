@@ -94,7 +94,7 @@ def linked(codes: np.ndarray, resident: np.ndarray, radius: int, accept=None) ->
 
     def leaf(own: np.ndarray, guests: np.ndarray) -> None:
         other = np.concatenate([own, guests])
-        step = max(1, (1 << 20) // max(1, len(other)))
+        step = max(1, (1 << (20 if accept is None else 14)) // max(1, len(other)))  # few at a time: most are joined soon
         for at in range(0, len(own), step):
             mine = own[at : at + step]
             i, j = np.nonzero(distance(codes[mine][:, None], codes[other][None, :]) <= radius)
@@ -228,16 +228,24 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def resemblance(a: np.ndarray, n: int, b: np.ndarray, m: int, size: int) -> float:
-    """Jaccard similarity from sorted bottom-`size` sketches; exact where both sets fit into the sketch."""
-    both = np.intersect1d(a, b, assume_unique=True)
-    if n <= size and m <= size:
-        return len(both) / (n + m - len(both))
-    union = np.union1d(a, b)[:size]
-    return len(np.intersect1d(both, union, assume_unique=True)) / len(union)
+NONE = np.uint64(np.iinfo(np.uint64).max)
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 22, sketch: int = 256, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def resemblances(low: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """Jaccard similarity of many pairs of rows from sorted bottom-`size` sketches (padded with NONE).
+
+    Exact where both sets fit into the sketch; else the share of common ones among the `size` smallest of both.
+    """
+    both = np.sort(np.concatenate([low[i, :size], low[j, :size]], axis=1), axis=1)
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
+    rank = np.cumsum(~twice, axis=1, dtype=np.int32)
+    most = np.where(np.maximum(n[i], n[j]) <= size, 2 * size, size)
+    union = np.minimum(((both != NONE) & ~twice).sum(1), most)
+    return (twice & (rank <= most[:, None])).sum(1) / np.maximum(union, 1)
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 18, sketch: int = 256, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(copies (id, rep), roots (node, root)): documents equal in words, and groups of those whose sets of
     `shingle`-word runs have a Jaccard similarity of at least `similarity`.
 
@@ -284,8 +292,13 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
 
     def block(ids, n, fp, low):
         def accept(i, j):
-            fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
-            return np.array([f and resemblance(low[a], int(n[a]), low[b], int(n[b]), sketch) >= similarity for f, a, b in zip(fits, i, j)], bool)
+            ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+            for width, least in ((sketch // 4, similarity - 0.2), (sketch, similarity)):  # a coarse look spares most
+                at = np.flatnonzero(ok)
+                for k in range(0, len(at), 4096):
+                    part = at[k : k + 4096]
+                    ok[part] = resemblances(low, n, i[part], j[part], width) >= least
+            return ok
 
         top = linked(fp, np.ones(len(fp), bool), radius, accept).flat()
         return [(ids[k], ids[r]) for k, r in enumerate(top) if k != r]
@@ -297,7 +310,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
             if len(rows_held) < 2:
                 return []
             ids, n, fp, low = zip(*rows_held)
-            return block(ids, np.array(n), np.array(fp, np.int64).view(np.uint64), [np.frombuffer(x, np.uint64) for x in low])
+            wide = np.full((len(ids), sketch), NONE, np.uint64)
+            for k, x in enumerate(low):
+                wide[k, : len(x) // 8] = np.frombuffer(x, np.uint64)
+            return block(ids, np.array(n), np.array(fp, np.int64).view(np.uint64), wide)
 
         for b in batches:
             edges = []
