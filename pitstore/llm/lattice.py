@@ -16,7 +16,9 @@ from .common import bounded_batches, stored
 
 #: Words whose counts every task holds (the most frequent ones); the counts of the others are joined.
 FREQUENT = 200_000
-FLUSH, REMEMBERED = 300_000, 400_000
+FLUSH = 300_000
+#: Words of up to this many characters are spelled together with others of their length.
+TOGETHER = 40
 LN10 = math.log(10)
 
 
@@ -61,7 +63,6 @@ class Lattice:
         self.ids, self.byte = plain, byte
         self.log_of = {p: self.logs[i] for p, i in plain.items()}
         self.longest = max(map(len, plain), default=1)
-        self.known: dict[bytes, float] = {}
 
     def _bytes(self, c: str) -> float:
         return sum(self.logs[self.byte[b]] for b in c.encode("utf-8", "surrogatepass"))
@@ -106,14 +107,7 @@ class Lattice:
         return reach
 
     def word(self, w: bytes) -> float:
-        got = self.known.get(w)
-        if got is None:
-            got = self.forward("▁" + w.decode("utf-8", "surrogatepass"))[-1]
-            if len(w) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[w] = got
-        return got
+        return self.forward("▁" + w.decode("utf-8", "surrogatepass"))[-1]
 
     def expected(self, w: bytes, weight: float, into: np.ndarray) -> None:
         """Adds the expected uses of each piece over all segmentations of the word, `weight` times."""
@@ -137,6 +131,87 @@ class Lattice:
                         into[self.byte[b]] += part
 
 
+class Lattices:
+    """The lattices of several classes, over many words at a time: the recursion runs over all words of a length.
+
+    logs: (classes, pieces). A character that no piece spells gets a column of its own, the sum of its bytes'.
+    """
+
+    def __init__(self, path: str, logs: np.ndarray):
+        self.path, self.logs = path, logs
+        _, self.ids, self.byte = vocabulary(path)
+        self.longest = max(map(len, self.ids), default=1)
+
+    def _arcs(self, words: list[str], n: int):
+        """[(from, to, rows, piece of each)] for words of n characters; the logs with columns for odd characters; these."""
+        get, odd, out, size = self.ids.get, {}, [], self.logs.shape[1]
+        for at in range(n):
+            for e in range(at + 1, min(n, at + self.longest) + 1):
+                ids = np.fromiter((get(w[at:e], -1) for w in words), np.int64, len(words))
+                if e == at + 1:
+                    for k in np.flatnonzero(ids < 0):
+                        c = words[k][at]
+                        ids[k] = size + odd.setdefault(c, len(odd))
+                rows = np.flatnonzero(ids >= 0)
+                if len(rows):
+                    out.append((at, e, rows, ids[rows]))
+        spelled = [self.logs[:, [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]].sum(1) for c in odd]
+        return out, np.column_stack([self.logs, *spelled]) if odd else self.logs, list(odd)
+
+    def _forward(self, arcs, logs: np.ndarray, n: int, count: int) -> np.ndarray:
+        reach = np.full((n + 1, len(logs), count), -np.inf)
+        reach[0] = 0.0
+        for at, e, rows, ids in arcs:
+            reach[e][:, rows] = np.logaddexp(reach[e][:, rows], reach[at][:, rows] + logs[:, ids])
+        return reach
+
+    def _groups(self, words: list[bytes]):
+        spelled = ["▁" + w.decode("utf-8", "surrogatepass") for w in words]
+        sizes = np.array([len(w) for w in spelled])
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            for k in range(0, len(at), 4096):
+                yield int(n), at[k : k + 4096], [spelled[i] for i in at[k : k + 4096]]
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """(classes, words): log probability of each word, over all its segmentations."""
+        out = np.zeros((len(self.logs), len(words)))
+        for n, at, some in self._groups(words):
+            if n > TOGETHER:
+                single = [Lattice(self.path, x) for x in self.logs]
+                out[:, at] = [[x.forward(w)[-1] for w in some] for x in single]
+                continue
+            arcs, logs, _ = self._arcs(some, n)
+            out[:, at] = self._forward(arcs, logs, n, len(some))[n]
+        return out
+
+    def expected(self, words: list[bytes], weights: np.ndarray, into: np.ndarray) -> None:
+        """Adds the expected uses of each piece in each class, weights (classes, words) times."""
+        size = self.logs.shape[1]
+        for n, at, some in self._groups(words):
+            if n > TOGETHER:
+                for z, x in enumerate(self.logs):
+                    single = Lattice(self.path, x)
+                    for i in at[weights[z, at] > 0]:
+                        single.expected(words[i], float(weights[z, i]), into[z])
+                continue
+            arcs, logs, odd = self._arcs(some, n)
+            reach = self._forward(arcs, logs, n, len(some))
+            back = np.full_like(reach, -np.inf)
+            back[n] = 0.0
+            wide = np.zeros((len(logs), logs.shape[1]))
+            for a, e, rows, ids in reversed(arcs):
+                x = back[e][:, rows] + logs[:, ids]
+                back[a][:, rows] = np.logaddexp(back[a][:, rows], x)
+                part = np.exp(reach[a][:, rows] + x - reach[n][:, rows]) * weights[:, at[rows]]
+                for z in range(len(logs)):
+                    np.add.at(wide[z], ids, part[z])
+            into += wide[:, :size]
+            for k, c in enumerate(odd):
+                for b in c.encode("utf-8", "surrogatepass"):
+                    into[:, self.byte[b]] += wide[:, size + k]
+
+
 def _classes(docs: DataFrame, class_col: str | None, most: int) -> list[str]:
     """The values of the column that get a model of their own: the `most` most frequent; all others share one."""
     if class_col is None:
@@ -145,7 +220,7 @@ def _classes(docs: DataFrame, class_col: str | None, most: int) -> list[str]:
     return sorted(r["z"] for r in top)
 
 
-def word_counts(docs: DataFrame, classes: list[str], id_col: str, text_col: str, class_col: str | None) -> DataFrame:
+def word_counts(docs: DataFrame, classes: list[str], m: int, id_col: str, text_col: str, class_col: str | None) -> DataFrame:
     """(w, c0, c1, ...): each word of any text and how often the training texts of each class have it.
 
     Summed up in each task before the shuffle; words of held-out texts alone have zeros.
@@ -175,7 +250,7 @@ def word_counts(docs: DataFrame, classes: list[str], id_col: str, text_col: str,
 
     z = docs[class_col].cast("string") if class_col else F.lit(None).cast("string")
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"), z.alias("z"))
-    return named.mapInArrow(run, "w binary, z int, c long").groupBy("w").agg(*[F.sum(F.when(F.col("z") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(len(classes) + 1)])
+    return named.mapInArrow(run, "w binary, z int, c long").groupBy("w").agg(*[F.sum(F.when(F.col("z") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(m)])
 
 
 def piece_logs(counts: DataFrame, ends: int, path: str, rounds: int, classes: int, prior: float = 0.1) -> np.ndarray:
@@ -221,12 +296,10 @@ def piece_logs(counts: DataFrame, ends: int, path: str, rounds: int, classes: in
         shared = spark.sparkContext.broadcast(logs)
 
         def again(batches, shared=shared):
-            lattices, total = [Lattice(path, x) for x in shared.value], np.zeros((classes, size))
+            lattices, total = Lattices(path, shared.value), np.zeros((classes, size))
             for b in batches:
-                uses = np.array([b.column(1 + z).to_numpy() > 0 for z in range(classes)])
-                for w, own in zip(b.column(0).to_pylist(), uses.T):
-                    for z in np.flatnonzero(own):
-                        lattices[z].expected(w, 1.0, total[z])
+                uses = np.array([b.column(1 + z).to_numpy() > 0 for z in range(classes)], float)
+                lattices.expected(b.column(0).to_pylist(), uses, total)
             yield rows(total)
 
         logs = logs_of(summed(counts.mapInArrow(again, "z int, piece int, n double")))
@@ -250,12 +323,13 @@ def likelihood(docs: DataFrame, tokenizer: str, rounds: int = 1, id_col: str = "
     """
     spark = docs.sparkSession
     classes = _classes(docs, class_col, most_classes)
-    m = len(classes) + 1
-    counts = stored(word_counts(docs, classes, id_col, text_col, class_col), "words")
+    others = docs.where(docs[class_col].cast("string").isNull() | ~docs[class_col].cast("string").isin(classes)).limit(1).count() if classes else 1
+    m = len(classes) + (others > 0)  # the class of all others, where there are any
+    counts = stored(word_counts(docs, classes, m, id_col, text_col, class_col), "words")
     crc = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary"))
     z = docs[class_col].cast("string") if class_col else F.lit(None).cast("string")
     texts = {r["z"]: r["n"] for r in docs.where(crc % 10 != 0).groupBy(F.when(z.isin(classes), z).alias("z") if classes else F.lit(None).cast("string").alias("z")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    ends = np.array([*[texts.get(x, 0) for x in classes], texts.get(None, 0)], float)
+    ends = np.array([*[texts.get(x, 0) for x in classes], texts.get(None, 0)][:m], float)
     all_c = sum((F.col(f"c{k}") for k in range(m)), F.lit(0))
     sums = counts.agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(m)], F.count_if(all_c > 0).alias("v"), F.count_if(all_c == 1).alias("once")).first()
     by_class = np.array([sums[f"c{k}"] or 0 for k in range(m)], float) + ends
@@ -266,20 +340,20 @@ def likelihood(docs: DataFrame, tokenizer: str, rounds: int = 1, id_col: str = "
     logs = spark.sparkContext.broadcast(piece_logs(counts, int(ends.sum()), tokenizer, rounds, m))
 
     def spelled(batches):
-        lattices = [Lattice(tokenizer, x) for x in logs.value]
+        lattices = Lattices(tokenizer, logs.value)
         for b in batches:
             c = np.array([b.column(1 + k).to_numpy() for k in range(m)], float)
             words = b.column(0).to_pylist()
             whole = 0.8 * c / np.maximum(by_class, 1)[:, None] + 0.2 * c.sum(0) / max(n, 1)
-            floor = np.array([[x.word(w) for w in words] for x in lattices]).reshape(m, -1) + math.log(new)
+            floor = lattices.words(words) + math.log(new)
             with np.errstate(divide="ignore"):
                 lp = np.logaddexp(np.log((1 - new) * whole), floor) / LN10
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(c.sum(0).astype(np.int64)), pa.array(np.log10(c.sum(0) + 0.1) - norm), *[pa.array(lp[k].astype(np.float64)) for k in range(m)]],
+                [b.column(0), pa.array(c.sum(0).astype(np.int64)), pa.array(np.log10(c.sum(0) + 0.1) - norm), *[pa.array(lp[k].astype(np.float32)) for k in range(m)]],
                 names=["w", "c", "base", *[f"p{k}" for k in range(m)]],
             )
 
-    kinds = "w binary, c long, base double, " + ", ".join(f"p{k} double" for k in range(m))
+    kinds = "w binary, c long, base double, " + ", ".join(f"p{k} float" for k in range(m))
     words = stored(counts.mapInArrow(spelled, kinds), "spelled")
     top = {bytes(r["w"]): (r["c"], r["base"], [r[f"p{k}"] for k in range(m)]) for r in words.orderBy(F.desc("c"), "w").limit(frequent).collect()}
     model = spark.sparkContext.broadcast(top)
