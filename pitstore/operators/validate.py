@@ -60,7 +60,7 @@ def example_ingest(events: DataFrame) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     fields = F.concat(F.lit('{"user":"'), F.col("user_id").cast("string"), F.lit('","value":"'), F.floor("value").cast("string"), F.lit('"}'))
     none = F.lit(None).cast("long")
-    rows = events.where("event_type = 'purchase'").select(
+    rows = events.select(
         F.concat(F.lit("U"), (F.col("user_id") % 7).cast("string")).alias("scope"), ms.alias("effective_at"), ms.alias("known_at"), none.alias("period_start"), none.alias("period_end"), F.lit("derived").alias("availability"), F.lit(None).cast("string").alias("title"), fields.alias("fields"), F.lit(None).cast("string").alias("parse_error"), F.col("event_id").alias("arrival")
     )
     return revise.ingest(rows, schema, now_ms=4_000_000_000_000)

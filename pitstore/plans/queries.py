@@ -196,16 +196,18 @@ def revision_latest(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FACTS}, small AS (SELECT * FROM facts WHERE key LIKE '%|1_'), past AS (
+    """WITH f AS (SELECT user_id AS scope, event_type AS key, event_id AS seq, epoch_us(ts) // 1000 + (event_id * 7919) % 1000 * 60000 AS effective_at, CAST(floor(value) AS BIGINT)::VARCHAR AS value FROM events), past AS (
   SELECT c.scope, c.seq, c.effective_at AS e_at, c.key, h.key AS hk, arg_max(h.effective_at, h.seq) AS he, arg_max(h.value, h.seq) AS hv
-  FROM small c JOIN small h ON c.scope = h.scope AND h.seq < c.seq AND h.key <> c.key GROUP BY ALL),
+  FROM f c JOIN f h ON c.scope = h.scope AND h.seq < c.seq AND h.key <> c.key GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY scope, seq ORDER BY he DESC, hk DESC) AS n FROM past WHERE he < e_at OR (he = e_at AND hk < key))
-SELECT scope, seq, string_agg(hv::VARCHAR, ',' ORDER BY n DESC) AS history FROM ranked WHERE n <= 3 GROUP BY scope, seq"""
+SELECT scope, seq, string_agg(hv, ',' ORDER BY n DESC) AS history FROM ranked WHERE n <= 3 GROUP BY scope, seq"""
 )
 def bitemporal_history(spark, sf_dir):
-    """For each fact the three before it in effect, as known when it came."""
-    f = facts(spark, sf_dir).where(F.col("key").like("%|1_")).select("scope", "seq", "key", "effective_at", "value")
-    return revise.history_before(f, 3).select("scope", "seq", F.array_join(F.transform("history", lambda x: x["v"].cast("string")), ",").alias("history"))
+    """For each fact of a user the three before it in effect, as known when it came."""
+    e = _t(spark, sf_dir, "events")
+    at = F.unix_millis(F.col("ts").cast("timestamp")) + F.pmod(F.col("event_id") * 7919, F.lit(1000)) * 60_000
+    f = e.select(F.col("user_id").alias("scope"), F.col("event_id").alias("seq"), F.col("event_type").alias("key"), at.alias("effective_at"), F.floor("value").cast("string").alias("value"))
+    return revise.history_before(f, 3).select("scope", "seq", F.array_join(F.transform("history", lambda x: x["v"]), ",").alias("history"))
 
 
 # --- derived fields -----------------------------------------------------------------------------------------
@@ -511,17 +513,17 @@ def weighted_mean(spark, sf_dir):
 
 
 @query(
-    f"WITH {_NEWS}, st AS (SELECT DISTINCT stamp FROM n WHERE ordinal % 3 = 0), hrs AS (SELECT DISTINCT CAST(ceil(stamp / 3600000.0) AS BIGINT) * 3600000 AS hour FROM n) SELECT hour, count(st.stamp) AS batches FROM hrs LEFT JOIN st ON st.stamp > hour - 3600000 AND st.stamp <= hour GROUP BY hour"
+    f"WITH {_NEWS}, st AS (SELECT DISTINCT stamp FROM n WHERE quad = 4), hrs AS (SELECT DISTINCT CAST(ceil(stamp / 3600000.0) AS BIGINT) * 3600000 AS hour FROM n) SELECT hour, count(st.stamp) AS batches FROM hrs LEFT JOIN st ON st.stamp > hour - 3600000 AND st.stamp <= hour GROUP BY hour"
 )
 def batch_gaps(spark, sf_dir):
     """How many of four batches each hour has."""
     n = _news(spark, sf_dir)
     hours = n.select(aggregates.hour_end(F.col("stamp")).alias("hour")).distinct()
-    return aggregates.batch_presence(n.where("ordinal % 3 = 0"), hours)
+    return aggregates.batch_presence(n.where("quad = 4"), hours)
 
 
 @query(
-    f"WITH {_NEWS}, st AS (SELECT DISTINCT stamp FROM n WHERE ordinal % 3 = 0), hrs AS (SELECT DISTINCT CAST(ceil(stamp / 3600000.0) AS BIGINT) * 3600000 AS hour FROM n), p AS (SELECT hour, count(st.stamp) AS batches FROM hrs LEFT JOIN st ON st.stamp > hour - 3600000 AND st.stamp <= hour GROUP BY hour) "
+    f"WITH {_NEWS}, st AS (SELECT DISTINCT stamp FROM n WHERE quad = 4), hrs AS (SELECT DISTINCT CAST(ceil(stamp / 3600000.0) AS BIGINT) * 3600000 AS hour FROM n), p AS (SELECT hour, count(st.stamp) AS batches FROM hrs LEFT JOIN st ON st.stamp > hour - 3600000 AND st.stamp <= hour GROUP BY hour) "
     f"SELECT hour, batches FROM p WHERE batches = 4 OR (batches > 0 AND {T_AT} - hour >= 2700000)"
 )
 def final_hours(spark, sf_dir):
@@ -608,11 +610,11 @@ def decimal_text(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", canon.decimal_column(F.col("value").cast("decimal(19,8)")).alias("text"))
 
 
-@query(f"WITH {FACTS} SELECT key, known_at FROM facts WHERE seq % 2 = 0 AND NOT seq % 10 = 4")
+@query(f"WITH {FACTS} SELECT key, known_at FROM facts WHERE availability <> 'derived' EXCEPT ALL SELECT key, known_at FROM facts WHERE availability = 'observed'")
 def set_diff(spark, sf_dir):
     """What is expected and not there."""
     f = facts(spark, sf_dir)
-    return f.where("seq % 2 = 0").select("key", "known_at").exceptAll(f.where("seq % 10 = 4").select("key", "known_at"))
+    return f.where("availability <> 'derived'").select("key", "known_at").exceptAll(f.where("availability = 'observed'").select("key", "known_at"))
 
 
 @query("""SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS stamp, array_to_string([strftime(date_trunc('hour', ts) + (k * 15) * INTERVAL 1 MINUTE, '%Y%m%d%H%M%S') FOR k IN range(1, 5)], ',') AS batches FROM events""")
