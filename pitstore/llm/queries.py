@@ -126,7 +126,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     out = score(docs, chain, CATEGORIES)
-    return out.withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return out.withColumn("toxic", F.col("p_toxic") >= 0.4)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

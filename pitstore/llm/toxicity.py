@@ -49,7 +49,7 @@ class Linear:
     accelerated gradient descent with a ridge finds the weights. One class only, or no rows: a constant.
     """
 
-    def __init__(self, rows: Rows, before: np.ndarray, y: np.ndarray, seen: int = 4, chi: float = 12.0, ridge: float = 2.0, steps: int = 200):
+    def __init__(self, rows: Rows, before: np.ndarray, y: np.ndarray, seen: int = 4, chi: float = 20.0, ridge: float = 0.5, steps: int = 200):
         self.weights: dict[str, float] = {}
         self.before = np.zeros(before.shape[1])
         self.bias = float(np.log((y.sum() + 0.01) / (len(y) - y.sum() + 1.0))) if len(y) else -30.0
@@ -172,7 +172,7 @@ def score(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "d
     return out.select(F.col("id").alias(id_col), *[F.col(f"p{k}").alias(prefix + c) for k, c in enumerate(categories)])
 
 
-def drop_toxic(docs: DataFrame, chain: Chain, category: int, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, chain: Chain, category: int, threshold: float = 0.4, text_col: str = "text") -> DataFrame:
     """The documents whose probability of the category is under the threshold, with all their columns."""
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(chain)

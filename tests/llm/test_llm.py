@@ -347,7 +347,7 @@ def test_toxicity_on_held_out_rows(spark, docs, nothing):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, quality int")
     chain = toxicity.fit(df, df.where("doc_id < 400").drop("text"), ["quality", "toxic"])
     got = {r.doc_id: r.p_toxic for r in toxicity.score(df, chain, ["quality", "toxic"]).collect()}
-    right = [(got[k] >= 0.5) == bool(t) for k, _, t, _ in rows if k >= 400]
+    right = [(got[k] >= 0.4) == bool(t) for k, _, t, _ in rows if k >= 400]
     assert sum(right) / len(right) >= 0.98
     kept = toxicity.drop_toxic(docs, chain, 1)
     assert kept.count() == len(ROWS) and kept.columns == docs.columns
