@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored
 
 #: Words whose counts every task holds (the most frequent ones); the counts of the others are joined.
-FREQUENT = 200_000
+FREQUENT = 50_000
 FLUSH = 300_000
 #: Words of up to this many characters are spelled together with others of their length.
 TOGETHER = 40
@@ -265,8 +265,8 @@ def piece_logs(counts: DataFrame, ends: int, path: str, rounds: int, classes: in
 
     def summed(frame: DataFrame) -> np.ndarray:
         out = np.zeros((classes, size))
-        for r in frame.groupBy("z", "piece").agg(F.sum("n").alias("n")).collect():  # at most classes x the vocabulary's size
-            out[r["z"], r["piece"]] = r["n"]
+        t = frame.groupBy("z", "piece").agg(F.sum("n").alias("n")).toArrow()  # at most classes x the vocabulary's size
+        out[t["z"].to_numpy(), t["piece"].to_numpy()] = t["n"].to_numpy()
         return out
 
     def rows(total: np.ndarray):
@@ -317,7 +317,7 @@ def likelihood(docs: DataFrame, tokenizer: str, rounds: int = 1, id_col: str = "
     for the rest), whatever its own class is said to be.
 
     Null and empty texts are an end alone; a null id counts as empty text in the crc; repeated rows stay; an
-    empty table gives no rows; other columns are not read. Each different word is spelled once; the 200 000
+    empty table gives no rows; other columns are not read. Each different word is spelled once; the 50 000
     most frequent words go to all tasks with their scores (a fixed bound), all others are joined, so no word is
     a hot key.
     """
@@ -355,7 +355,8 @@ def likelihood(docs: DataFrame, tokenizer: str, rounds: int = 1, id_col: str = "
 
     kinds = "w binary, c long, base double, " + ", ".join(f"p{k} float" for k in range(m))
     words = stored(counts.mapInArrow(spelled, kinds), "spelled")
-    top = {bytes(r["w"]): (r["c"], r["base"], [r[f"p{k}"] for k in range(m)]) for r in words.orderBy(F.desc("c"), "w").limit(frequent).collect()}
+    most = words.orderBy(F.desc("c"), "w").limit(frequent).toArrow()
+    top = {w: (c, b, p) for w, c, b, *p in zip(*(most[c].to_pylist() for c in ("w", "c", "base", *[f"p{k}" for k in range(m)])))}
     model = spark.sparkContext.broadcast(top)
     end_log = np.log10(np.maximum(0.8 * ends / np.maximum(by_class, 1) + 0.2 * ends.sum() / max(n, 1), 1e-9)) + math.log10(1 - new)
     prior = np.log10((ends + 0.5) / (ends + 0.5).sum())
