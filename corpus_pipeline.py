@@ -33,9 +33,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+#: The part of the clean tokens that the mixed sample shall have.
+MIX_BUDGET = 0.7
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens lie in the target proportions of source, language and topic."""
-    return mixed(docs).where("kept").select("row.*")
+    """A sample of MIX_BUDGET of the tokens, in the target proportions of source, language and topic."""
+    return mixed(docs, MIX_BUDGET).where("kept").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,9 +50,9 @@ def topic_of(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(" | ")), "table").when(words >= 400, "long").when(words >= 100, "medium").otherwise("short")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, budget: float | None = None) -> DataFrame:
     dims = {"source": docs["source"], "lang": docs["lang"], "topic": topic_of(docs["text"])}
-    return calibrated(docs, dims, tokens=F.regexp_count(docs["text"], F.lit(N_WORDS)), power=0.9, rounds=10, seed=3)
+    return calibrated(docs, dims, tokens=F.regexp_count(docs["text"], F.lit(N_WORDS)), power=0.9, rounds=10, seed=3, budget=budget)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

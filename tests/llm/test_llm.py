@@ -393,6 +393,26 @@ def test_likelihood(docs, nothing, frequent):
     assert lattice.likelihood(nothing, PIECES).count() == 0
 
 
+@pytest.mark.parametrize("cells", [mixing.CELLS, 0])
+def test_mixing_by_budget_and_targets(spark, cells):
+    rows = [(k, "w " * 50, "ab"[k % 3 == 0], f"s{k % 4}") for k in range(400)]
+    dims = lambda d: {"source": d["source"], "lang": d["lang"]}
+    tokens = F.regexp_count("text", F.lit(r"\S+"))
+    share = {}
+    for name, more in (("plain", []), ("rare", [(1000, "w " * 10, "zz", "rare")])):
+        df = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string")
+        got = mixing.calibrated(df, dims(df), tokens, rounds=4 if cells else 1, cells_on_driver=cells, budget=0.7).collect()
+        share[name] = sum(r.tokens * r.probability for r in got) / sum(r.tokens for r in got)
+        assert all(0 <= r.probability <= 1 for r in got) and all(r.kept for r in got if r.source == "rare")
+    assert abs(share["plain"] - 0.7) < 1e-6 and abs(share["rare"] - 0.7) < 1e-6
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.calibrated(df, dims(df), tokens, rounds=4 if cells else 1, cells_on_driver=cells, targets={"lang": {"a": 0.2, "b": 0.8, "none": 0.0}}, budget=0.3).collect()
+    have = collections.Counter()
+    for r in got:
+        have[r.lang] += r.tokens * r.probability
+    assert abs(have["b"] / sum(have.values()) - 0.8) < 1e-3 and abs(sum(have.values()) / 20000 - 0.3) < 1e-3
+
+
 # --- the pipeline ---------------------------------------------------------------------------------------------
 
 
