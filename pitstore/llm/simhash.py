@@ -124,6 +124,31 @@ def linked(codes: np.ndarray, resident: np.ndarray, radius: int, accept=None) ->
     return sets
 
 
+def judge_rest(sets: Union, n: np.ndarray, similarity: float, accept) -> None:
+    """Joins all accepted pairs that are not joined yet, at any distance.
+
+    Only sizes rule a pair out: sets of which one has less than `similarity` of the other's members cannot be
+    that similar.
+    """
+    order = np.argsort(n, kind="stable")
+    size = n[order]
+    end = np.searchsorted(size, np.floor(size / similarity + 1e-9), side="right")
+    at = 0
+    while at < len(order):
+        upto = at + max(1, int(np.searchsorted(np.cumsum(end[at:] - np.arange(at, len(order))), 1 << 16)))
+        count = end[at:upto] - np.arange(at, min(upto, len(order))) - 1
+        first = np.repeat(np.arange(at, min(upto, len(order))), count)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+        i, j = order[first], order[second]
+        for k in range(0, len(i), 1 << 14):
+            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            new = sets.find(a) != sets.find(b)
+            a, b = a[new], b[new]
+            ok = accept(a, b) if len(a) else np.zeros(0, bool)
+            sets.join(a[ok], b[ok])
+        at = upto
+
+
 def upper_tree(sample: np.ndarray, depth: int):
     """Nested (vantage, radius, inner, outer); None is a shard."""
     at = split(sample) if depth and len(sample) > 1 else None
@@ -250,9 +275,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
     `shingle`-word runs have a Jaccard similarity of at least `similarity`.
 
     A similarity of 0.8 turns over about ten of 64 fingerprint bits, a radius at which triangle bounds exclude
-    nothing. So fingerprints are first parted by five min-hashes of the same shingles (0.8 leaves 3 pairs in
-    10 000 without a common one); in each block a tree joins fingerprints within `radius` bits, and a pair
-    counts if its sketches say so. Blocks of more than 1024 are dealt out as pairs of parts: nothing is capped.
+    nothing, and no number of bits is proven. So fingerprints (of the distinct shingles) are first parted by five
+    min-hashes of the same shingles (0.8 leaves 3 pairs in 10 000 without a common one); in each block a tree
+    joins what it finds within `radius` bits, as the likeliest, and then all pairs that are still apart are
+    judged, whatever their distance. Blocks of more than 1024 are dealt out as pairs of parts: nothing is capped.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -267,7 +293,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
                 low = np.sort(_mixed(s, 0))[:sketch]
                 mins = [int(_mixed(s, k).view(np.int64)[np.argmin(_mixed(s, k))]) for k in range(len(ODD))] if len(s) else []
                 joined = b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())
-                for c, v in zip(cols, (xxhash.xxh3_128_digest(joined), len(s), int(np.uint64(fingerprint(h)).view(np.int64)), mins, low.tobytes())):
+                for c, v in zip(cols, (xxhash.xxh3_128_digest(joined), len(s), int(np.uint64(fingerprint(s)).view(np.int64)), mins, low.tobytes())):
                     c.append(v)
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id", "words", "n", "fp", "mins", "sketch"])
@@ -300,7 +326,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
                     ok[part] = resemblances(low, n, i[part], j[part], width) >= least
             return ok
 
-        top = linked(fp, np.ones(len(fp), bool), radius, accept).flat()
+        sets = linked(fp, np.ones(len(fp), bool), radius, accept)
+        judge_rest(sets, n, similarity, accept)
+        top = sets.flat()
         return [(ids[k], ids[r]) for k, r in enumerate(top) if k != r]
 
     def join_blocks(batches):

@@ -232,6 +232,17 @@ def test_keep_one(spark, docs, nothing, monkeypatch):
     assert simhash.keep_one(nothing).count() == 0
 
 
+def test_keep_one_finds_repeated_phrases_and_judges_far_fingerprints(spark):
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{j}" for j in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + [f"p{k}x{j}" for j in range(7)] * 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(range(0, 40, 2))
+    copies, roots = simhash.similar_groups(df, radius=0)  # the tree alone joins nothing
+    assert copies.count() == 0 and roots.where("node <> root").count() == 20
+
+
 # --- suffix arrays --------------------------------------------------------------------------------------------
 
 
