@@ -36,14 +36,35 @@ def _window(at: list[Column], min_words: int) -> Column:
     return pick
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _tails(at: list[Column], min_words: int) -> list[Column]:
+    """Windows that close where they do: the fewest lines up to a last one, where they are not the fewest from their first.
+
+    Of the windows that open at the first of these lines, each is null or has the fields of _window().
+    """
+    out = []
+    for k in range(2, len(at) + 1):
+        head, tail = F.lit(0), F.lit(0)
+        for x in at[: k - 1]:
+            head = head + x["words"]
+        for x in at[1:k]:
+            tail = tail + x["words"]
+        hashes = [y["h"] for y in at[:k]]
+        made = F.struct(F.least(*hashes).alias("fingerprint"), F.xxhash64(F.lit(k), *hashes).alias("content"), at[0]["pos"].alias("pos"), F.array(*[y["pos"] for y in at[:k]]).alias("covers"))
+        out.append(F.when((head >= min_words) & (tail < min_words), made))
+    return out
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", extend: bool = True) -> DataFrame:
     """(id, print, runs): for each document with repeated lines, the maximal runs [first, last] to delete.
 
     1. Winnowing: every window of lines names the least of its line hashes; equal windows name the same one.
     2. Fingerprints at one position only are dropped; the windows of the others are joined on the position
        where the same window stands first, by (id, hash of the text, line).
     3. A match is extended line by line in both directions: the window before or after is looked up in the
-       same way, and neighbours with an earlier position of their own join up to a maximal run.
+       same way, and neighbours with an earlier position of their own join up to a maximal run. Windows are the
+       fewest lines from a first one on, which reach back to the run's first line, and the fewest up to a last
+       one, which reach on to its last: any run that counts and stands earlier is covered by those inside it.
+       Without extend there are no windows of the second kind, and short lines at a run's end stay.
     The first position of a window is aggregated before the shuffle, so a line that a third of all documents
     hold is one row for each task, and no two documents are ever paired.
     """
@@ -51,7 +72,11 @@ def repeated_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50, id_c
     lines = base.select("id", F.xxhash64("t").alias("print"), _lines(F.col("t")).alias("full"))
     ahead = F.arrays_zip(*[(F.col("full") if k == 0 else F.slice("full", k + 1, F.size("full"))).alias(f"x{k}") for k in range(min_lines)])
     opened = lines.select("id", "print", F.inline(ahead).alias(*[f"x{k}" for k in range(min_lines)])).where(F.col("x0").isNotNull())
-    windows = opened.select("id", "print", _window([F.col(f"x{k}") for k in range(min_lines)], min_words).alias("w")).where("w is not null").select("id", "print", "w.*")
+    at = [F.col(f"x{k}") for k in range(min_lines)]
+    if extend:
+        windows = opened.select("id", "print", F.inline(F.array_compact(F.array(_window(at, min_words), *_tails(at, min_words)))))
+    else:
+        windows = opened.select("id", "print", _window(at, min_words).alias("w")).where("w is not null").select("id", "print", "w.*")
     windows = stored(windows, "line-windows")
     place = F.struct("id", "print", "pos")
     shared = windows.groupBy("fingerprint").count().where("count > 1").select(F.col("fingerprint").alias("f"))
@@ -65,18 +90,19 @@ def repeated_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50, id_c
     return marks.select("id", "print", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", report: bool = False, extend: bool = True) -> DataFrame:
     """docs with repeated runs of lines deleted from the text; the first occurrence, by (id, text hash, line), stays.
 
     A run is repeated if it has `min_words` words or `min_lines` lines and stands at an earlier place; lines
     are compared exactly, lines without a word (spaces, tabs, line ends) are neither compared nor deleted.
+    Without extend, lines go only inside the fewest-lines windows that open at one of them.
     report adds n_lines, n_removed and n_runs. Null text stays null (0 lines); empty text stays empty (1 line);
     null ids come before all others; rows alike in id and text are one document and keep the same lines; other
     columns pass through untouched; an empty table gives no rows; a document that loses every line keeps its
     row with an empty text.
     """
     prepare(docs.sparkSession)
-    runs = repeated_runs(docs, min_lines, min_words, id_col, text_col)
+    runs = repeated_runs(docs, min_lines, min_words, id_col, text_col, extend)
     runs = runs.select(F.col("id").alias("i"), F.col("print").alias("p"), "runs")
     rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), docs[text_col].alias("t"))
     rows = rows.join(runs, rows["id"].eqNullSafe(runs["i"]) & (F.xxhash64(rows["t"]) == runs["p"]), "left").select("row", "t", "runs")

@@ -85,8 +85,8 @@ FROM docs d JOIN fitted f ON d.source = f.source AND d.lang = f.lang AND d.topic
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of 50 words or 3 lines that stand earlier go; one row per document."""
-    return dedup_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=50, report=True).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
+    """Windows of 50 words or 3 lines that stand earlier go, as in the SQL; one row per document."""
+    return dedup_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=50, report=True, extend=False).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
 
 
 OP4_SQL = r"""

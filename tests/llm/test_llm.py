@@ -159,6 +159,32 @@ def test_line_dedup(spark, docs, nothing):
     assert not [c for c in line_dedup.dedup_lines(docs)._jdf.queryExecution().toString().split() if "Python" in c or "Arrow" in c]
 
 
+def test_line_dedup_extends_to_the_run_s_ends(spark):
+    def line(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    r = random.Random(5)
+    pool = [line(f"l{k}_", n) for k, n in enumerate([60, 55, 40, 30, 25, 20, 20, 10, 10, 5, 1, 1])]
+    rows = [(0, line("a", 60) + "\n" + line("b", 20)), (1, line("c", 60) + "\n\n" + line("b", 20)), (2, line("a", 60) + "\n" + line("b", 20) + "\n" + line("d", 9)), (3, line("c", 60) + "\n" + line("b", 20))]
+    rows += [(10 + k, "\n".join([*(r.choice(pool) for _ in range(r.randint(1, 9)))])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()}
+    assert got[2] == line("d", 9) and got[3] == ""
+    seen, want = {}, {}
+    for i, t in rows:
+        full = [(p, x) for p, x in enumerate(t.split("\n")) if x.split()]
+        gone = set()
+        for a in range(len(full)):
+            for b in range(a + 1, len(full) + 1):
+                run = tuple(x for _, x in full[a:b])
+                if len(run) >= 3 or sum(len(x.split()) for x in run) >= 50:
+                    if seen.setdefault(run, (i, a)) < (i, a):
+                        gone |= {p for p, _ in full[a:b]}
+        want[i] = "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
+    assert got == want
+    assert [x for x in line_dedup.dedup_lines(df, extend=False).collect() if x.text != want[x.doc_id]]
+
+
 # --- simhash --------------------------------------------------------------------------------------------------
 
 
