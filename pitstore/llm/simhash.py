@@ -278,7 +278,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
     nothing, and no number of bits is proven. So fingerprints (of the distinct shingles) are first parted by five
     min-hashes of the same shingles (0.8 leaves 3 pairs in 10 000 without a common one); in each block a tree
     joins what it finds within `radius` bits, as the likeliest, and then all pairs that are still apart are
-    judged, whatever their distance. Blocks of more than 1024 are dealt out as pairs of parts: nothing is capped.
+    judged, whatever their distance. Bottom-`sketch` samples decide for sets that fit into them. For larger ones
+    they only reject, with a margin; what is left meets again with the whole sets. Blocks of more than 1024 are dealt out as pairs of parts: nothing is capped.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -314,50 +315,102 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
     payload = made.select("id", "n", "fp", "sketch").join(met.select(F.col("id").alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi").dropDuplicates(["id"])
     rows = payload.join(sent, F.col("id") == F.col("i")).select("t", "m", "p", "q", "id", "n", "fp", "sketch")
     width = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(width, "t", "m", "p", "q").sortWithinPartitions("t", "m", "p", "q", "id")
-
-    def block(ids, n, fp, low):
-        def accept(i, j):
-            ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
-            for width, least in ((sketch // 4, similarity - 0.2), (sketch, similarity)):  # a coarse look spares most
-                at = np.flatnonzero(ok)
-                for k in range(0, len(at), 4096):
-                    part = at[k : k + 4096]
-                    ok[part] = resemblances(low, n, i[part], j[part], width) >= least
-            return ok
+    kind_pa = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
 
+    def look(n, low, i, j):
+        """(similar, perhaps similar): sketches decide where both sets fit, else they only reject, six deviations off."""
+        most = np.maximum(n[i], n[j])
+        ok = np.minimum(n[i], n[j]) >= similarity * most
+        for width, slack in ((sketch // 4, 0.3), (sketch, 0.15)):  # a coarse look spares most
+            at = np.flatnonzero(ok)
+            for k in range(0, len(at), 4096):
+                part = at[k : k + 4096]
+                ok[part] = resemblances(low, n, i[part], j[part], width) >= np.where(most[part] <= width, similarity, similarity - slack)
+        return ok & (most <= sketch), ok & (most > sketch)
+
+    def matrix(sets):
+        wide = np.full((len(sets), sketch), NONE, np.uint64)
+        for k, x in enumerate(sets):
+            wide[k, : min(sketch, len(x))] = x[:sketch]
+        return wide
+
+    def joined(fp, n, accept):
         sets = linked(fp, np.ones(len(fp), bool), radius, accept)
         judge_rest(sets, n, similarity, accept)
-        top = sets.flat()
-        return [(ids[k], ids[r]) for k, r in enumerate(top) if k != r]
+        return [(k, r) for k, r in enumerate(sets.flat()) if k != r]
 
-    def join_blocks(batches):
-        held, rows_held = None, []
+    def sketched(held, block):
+        """Edges that sketches prove, and as (id, null, block) the members of pairs that take the whole sets."""
+        ids, n, fp, low = zip(*block)
+        n, low, open_ = np.array(n), matrix([np.frombuffer(x, np.uint64) for x in low]), np.zeros(len(ids), bool)
 
-        def done():
-            if len(rows_held) < 2:
-                return []
-            ids, n, fp, low = zip(*rows_held)
-            wide = np.full((len(ids), sketch), NONE, np.uint64)
-            for k, x in enumerate(low):
-                wide[k, : len(x) // 8] = np.frombuffer(x, np.uint64)
-            return block(ids, np.array(n), np.array(fp, np.int64).view(np.uint64), wide)
+        def accept(i, j):
+            at = np.flatnonzero(~(open_[i] & open_[j]))  # these meet again with their whole sets
+            sure, perhaps = look(n, low, i[at], j[at])
+            open_[i[at[perhaps]]] = open_[j[at[perhaps]]] = True
+            out = np.zeros(len(i), bool)
+            out[at[sure]] = True
+            return out
+
+        edges = joined(np.array(fp, np.int64).view(np.uint64), n, accept)
+        return [(ids[k], ids[r], None, None, None, None) for k, r in edges] + [(ids[k], None, *held) for k in np.flatnonzero(open_)]
+
+    def compared(held, block):
+        """Edges by the whole sets."""
+        ids, fp, sets = zip(*block)
+        sets = [np.frombuffer(x, np.uint64) for x in sets]
+        n, low, tied = np.array([len(x) for x in sets]), matrix(sets), Union(len(ids))
 
+        def accept(i, j):
+            sure, perhaps = look(n, low, i, j)
+            tied.join(i[sure], j[sure])
+            for k in np.flatnonzero(perhaps):
+                a, b = i[k : k + 1], j[k : k + 1]
+                if tied.find(a)[0] != tied.find(b)[0]:
+                    common = len(np.intersect1d(sets[a[0]], sets[b[0]], assume_unique=True))
+                    if common >= similarity * (n[a[0]] + n[b[0]] - common):
+                        sure[k] = True
+                        tied.join(a, b)
+            return sure
+
+        return [(ids[k], ids[r], None, None, None, None) for k, r in joined(np.array(fp, np.int64).view(np.uint64), n, accept)]
+
+    def by_block(judge):
+        names, kinds = ["a", "b", "t", "m", "p", "q"], [kind_pa, kind_pa, pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
+        def run(batches):
+            held, block = None, []
+            for b in batches:
+                found = []
+                for t, m, p, q, *row in zip(*(c.to_pylist() for c in b.columns)):
+                    if (t, m, p, q) != held:
+                        found += judge(held, block) if len(block) > 1 else []
+                        held, block = (t, m, p, q), []
+                    block.append(row)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+            found = judge(held, block) if len(block) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+
+        return run
+
+    def whole(batches):
         for b in batches:
-            edges = []
-            for t, m, p, q, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if (t, m, p, q) != held:
-                    edges += done()
-                    held, rows_held = (t, m, p, q), []
-                rows_held.append(row)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], kind_pa), pa.array([e[1] for e in edges], kind_pa)], names=["a", "b"])
-        edges = done()
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], kind_pa), pa.array([e[1] for e in edges], kind_pa)], names=["a", "b"])
-
-    kind_pa = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
-    return copies, components(rows.mapInArrow(join_blocks, f"a {kind}, b {kind}"))
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column(1).to_pylist()]
+            fp = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.array([np.sort(_mixed(s, 0)).tobytes() for s in sets], pa.binary())], names=["id", "fp", "full"])
+
+    def dealt(frame, judge):
+        placed = frame.repartition(width, "t", "m", "p", "q").sortWithinPartitions("t", "m", "p", "q", "id")
+        return placed.mapInArrow(by_block(judge), f"a {kind}, b {kind}, t int, m long, p int, q int")
+
+    first = stored(dealt(rows, sketched), "near-pairs")
+    unsure = first.where("b is null").select(F.col("a").alias("i"), "t", "m", "p", "q")
+    texts = named.join(unsure.select("i").distinct(), F.col("id") == F.col("i"), "left_semi").dropDuplicates(["id"])
+    again = texts.mapInArrow(whole, f"id {kind}, fp long, full binary").join(unsure, F.col("id") == F.col("i")).select("t", "m", "p", "q", "id", "fp", "full")
+    edges = first.where("b is not null").select("a", "b").unionByName(dealt(again, compared).select("a", "b"))
+    return copies, components(edges)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

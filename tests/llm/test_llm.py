@@ -269,6 +269,17 @@ def test_keep_one_finds_repeated_phrases_and_judges_far_fingerprints(spark):
     assert copies.count() == 0 and roots.where("node <> root").count() == 20
 
 
+def test_keep_one_compares_whole_sets_of_long_texts(spark):
+    rows, want = [], set()
+    for k in range(40):  # 596 shingles; 62 words changed: 530 of 662 common (0.801), 63: 529 of 663 (0.798)
+        words = [f"w{k}x{j}" for j in range(600)]
+        n = 62 + k % 2
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:200] + [f"c{k}x{j}" for j in range(n)] + words[200 + n :]))]
+        want |= {2 * k, 2 * k + 1} if k % 2 else {2 * k}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
 # --- suffix arrays --------------------------------------------------------------------------------------------
 
 
