@@ -131,6 +131,34 @@ class Lattice:
                         into[self.byte[b]] += part
 
 
+_TRIES: dict[str, tuple] = {}
+#: A trie's key holds a code point in so many low bits, the node above them.
+POINT = 21
+
+
+def trie(path: str) -> tuple:
+    """(root's child by code point, sorted keys (node, code point), child of each key, piece id that ends at a node or -1)."""
+    if path not in _TRIES:
+        ids = vocabulary(path)[1]
+        child: dict[tuple[int, int], int] = {}
+        ends = {}
+        for piece, i in ids.items():
+            node = 0
+            for c in piece:
+                node = child.setdefault((node, ord(c)), len(child) + 1)
+            ends[node] = i
+        term = np.full(len(child) + 1, -1, np.int64)
+        term[list(ends)] = list(ends.values())
+        keys = np.array([node << POINT | c for node, c in child], np.int64)
+        order = np.argsort(keys)
+        nodes = np.array(list(child.values()), np.int64)
+        root = np.full(1 << POINT, -1, np.int64)
+        first = keys < 1 << POINT
+        root[keys[first]] = nodes[first]
+        _TRIES[path] = root, np.r_[keys[order], np.iinfo(np.int64).max], np.r_[nodes[order], -1], term
+    return _TRIES[path]
+
+
 class Lattices:
     """The lattices of several classes, over many words at a time: the recursion runs over all words of a length.
 
@@ -141,30 +169,38 @@ class Lattices:
         self.path, self.logs = path, logs
         _, self.ids, self.byte = vocabulary(path)
         self.longest = max(map(len, self.ids), default=1)
+        self.root, self.keys, self.child, self.term = trie(path)
 
     def _arcs(self, words: list[str], n: int):
-        """[(from, to, rows, piece of each)] for words of n characters; the logs with columns for odd characters; these."""
-        get, odd, out, size = self.ids.get, {}, [], self.logs.shape[1]
+        """[(from, to, rows, piece of each)] for words of n characters; the logs with columns for odd characters; these.
+
+        All words walk down the trie of pieces together; those that leave it take no further part.
+        """
+        points = np.array(words, f"U{n}").view(np.uint32).reshape(-1, n).astype(np.int64)
+        odd, out, size = {}, [], self.logs.shape[1]
         for at in range(n):
-            for e in range(at + 1, min(n, at + self.longest) + 1):
-                ids = np.fromiter((get(w[at:e], -1) for w in words), np.int64, len(words))
-                if e == at + 1:
-                    for k in np.flatnonzero(ids < 0):
-                        c = words[k][at]
-                        ids[k] = size + odd.setdefault(c, len(odd))
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    out.append((at, e, rows, ids[rows]))
+            node = self.root[points[:, at]]
+            piece = np.where(node >= 0, self.term[node], -1)
+            lone = np.flatnonzero(piece < 0)
+            for k in lone:
+                piece[k] = size + odd.setdefault(words[k][at], len(odd))
+            out.append((at, at + 1, slice(None), piece))
+            rows = np.flatnonzero(node >= 0)
+            node = node[rows]
+            for e in range(at + 1, min(n, at + self.longest)):
+                key = node << POINT | points[rows, e]
+                place = np.searchsorted(self.keys, key)
+                on = self.keys[place] == key
+                rows, node = rows[on], self.child[place[on]]
+                if not len(rows):
+                    break
+                piece = self.term[node]
+                ends = piece >= 0
+                if ends.any():
+                    out.append((at, e + 1, rows[ends], piece[ends]))
         spelled = [self.logs[:, [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]].sum(1) for c in odd]
         return out, np.column_stack([self.logs, *spelled]) if odd else self.logs, list(odd)
 
-    def _forward(self, arcs, logs: np.ndarray, n: int, count: int) -> np.ndarray:
-        reach = np.full((n + 1, len(logs), count), -np.inf)
-        reach[0] = 0.0
-        for at, e, rows, ids in arcs:
-            reach[e][:, rows] = np.logaddexp(reach[e][:, rows], reach[at][:, rows] + logs[:, ids])
-        return reach
-
     def _groups(self, words: list[bytes]):
         spelled = ["▁" + w.decode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(w) for w in spelled])
@@ -182,34 +218,38 @@ class Lattices:
                 out[:, at] = [[x.forward(w)[-1] for w in some] for x in single]
                 continue
             arcs, logs, _ = self._arcs(some, n)
-            out[:, at] = self._forward(arcs, logs, n, len(some))[n]
+            reach = np.full((n + 1, len(logs), len(some)), -np.inf)
+            reach[0] = 0.0
+            for a, e, rows, ids in arcs:
+                reach[e][:, rows] = np.logaddexp(reach[e][:, rows], reach[a][:, rows] + logs[:, ids])
+            out[:, at] = reach[n]
         return out
 
-    def expected(self, words: list[bytes], weights: np.ndarray, into: np.ndarray) -> None:
-        """Adds the expected uses of each piece in each class, weights (classes, words) times."""
+    def expected(self, words: list[bytes], classes: np.ndarray, into: np.ndarray) -> None:
+        """Adds the expected uses of each piece in the class of each word: classes has its number."""
         size = self.logs.shape[1]
         for n, at, some in self._groups(words):
             if n > TOGETHER:
-                for z, x in enumerate(self.logs):
-                    single = Lattice(self.path, x)
-                    for i in at[weights[z, at] > 0]:
-                        single.expected(words[i], float(weights[z, i]), into[z])
+                for i in at:
+                    Lattice(self.path, self.logs[classes[i]]).expected(words[i], 1.0, into[classes[i]])
                 continue
             arcs, logs, odd = self._arcs(some, n)
-            reach = self._forward(arcs, logs, n, len(some))
-            back = np.full_like(reach, -np.inf)
-            back[n] = 0.0
-            wide = np.zeros((len(logs), logs.shape[1]))
-            for a, e, rows, ids in reversed(arcs):
-                x = back[e][:, rows] + logs[:, ids]
-                back[a][:, rows] = np.logaddexp(back[a][:, rows], x)
-                part = np.exp(reach[a][:, rows] + x - reach[n][:, rows]) * weights[:, at[rows]]
-                for z in range(len(logs)):
-                    np.add.at(wide[z], ids, part[z])
-            into += wide[:, :size]
+            own, wide = classes[at], logs.shape[1]
+            reach, back = np.full((2, n + 1, len(some)), -np.inf)
+            reach[0] = back[n] = 0.0
+            steps = [logs[own[rows], ids] for _, _, rows, ids in arcs]
+            for (a, e, rows, _), lp in zip(arcs, steps):
+                reach[e][rows] = np.logaddexp(reach[e][rows], reach[a][rows] + lp)
+            total = np.zeros(len(logs) * wide)
+            for (a, e, rows, ids), lp in zip(reversed(arcs), reversed(steps)):
+                x = back[e][rows] + lp
+                back[a][rows] = np.logaddexp(back[a][rows], x)
+                np.add.at(total, own[rows] * wide + ids, np.exp(reach[a][rows] + x - reach[n][rows]))
+            total = total.reshape(len(logs), wide)
+            into += total[:, :size]
             for k, c in enumerate(odd):
                 for b in c.encode("utf-8", "surrogatepass"):
-                    into[:, self.byte[b]] += wide[:, size + k]
+                    into[:, self.byte[b]] += total[:, size + k]
 
 
 def _classes(docs: DataFrame, class_col: str | None, most: int) -> list[str]:
@@ -229,23 +269,21 @@ def word_counts(docs: DataFrame, classes: list[str], m: int, id_col: str, text_c
     number = {z: k for k, z in enumerate(classes)}
 
     def run(batches):
-        have: Counter = Counter()
+        have: dict[int, Counter] = {}  # by class; words of held-out texts alone stay at zero
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in have], pa.binary()), pa.array([z for _, z in have], pa.int32()), pa.array(list(have.values()), pa.int64())], names=["w", "z", "c"])
+            flat = [(w, z, c) for z, own in have.items() for w, c in own.items()]
+            w, z, c = zip(*flat) if flat else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(z, pa.int32()), pa.array(c, pa.int64())], names=["w", "z", "c"])
 
         for b in batches:
             for i, t, z in zip(*(b.column(c).to_pylist() for c in range(3))):
-                z, words = number.get(z, len(classes)), words_of(t)
-                if held_out(i):
-                    for w in words:
-                        have.setdefault((w, z), 0)
-                else:
-                    for w, k in Counter(words).items():
-                        have[w, z] += k
-            if len(have) >= FLUSH:
+                words = words_of(t)
+                own = have.setdefault(number.get(z, len(classes)), Counter())
+                own.update(dict.fromkeys(words, 0) if held_out(i) else words)
+            if sum(map(len, have.values())) >= FLUSH:
                 yield rows()
-                have = Counter()
+                have = {}
         yield rows()
 
     z = docs[class_col].cast("string") if class_col else F.lit(None).cast("string")
@@ -298,8 +336,9 @@ def piece_logs(counts: DataFrame, ends: int, path: str, rounds: int, classes: in
         def again(batches, shared=shared):
             lattices, total = Lattices(path, shared.value), np.zeros((classes, size))
             for b in batches:
-                uses = np.array([b.column(1 + z).to_numpy() > 0 for z in range(classes)], float)
-                lattices.expected(b.column(0).to_pylist(), uses, total)
+                words = b.column(0).to_pylist()
+                z, at = np.nonzero([b.column(1 + z).to_numpy() > 0 for z in range(classes)])
+                lattices.expected([words[i] for i in at], z, total)  # each word in the classes that use it
             yield rows(total)
 
         logs = logs_of(summed(counts.mapInArrow(again, "z int, piece int, n double")))
@@ -349,42 +388,40 @@ def likelihood(docs: DataFrame, tokenizer: str, rounds: int = 1, id_col: str = "
             with np.errstate(divide="ignore"):
                 lp = np.logaddexp(np.log((1 - new) * whole), floor) / LN10
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(c.sum(0).astype(np.int64)), pa.array(np.log10(c.sum(0) + 0.1) - norm), *[pa.array(lp[k].astype(np.float32)) for k in range(m)]],
+                [b.column(0), pa.array(c.sum(0).astype(np.int64)), pa.array(np.log10(c.sum(0) + 0.1) - norm), *[pa.array(lp[k]) for k in range(m)]],
                 names=["w", "c", "base", *[f"p{k}" for k in range(m)]],
             )
 
-    kinds = "w binary, c long, base double, " + ", ".join(f"p{k} float" for k in range(m))
+    kinds = "w binary, c long, base double, " + ", ".join(f"p{k} double" for k in range(m))
     words = stored(counts.mapInArrow(spelled, kinds), "spelled")
     most = words.orderBy(F.desc("c"), "w").limit(frequent).toArrow()
-    top = {w: (c, b, p) for w, c, b, *p in zip(*(most[c].to_pylist() for c in ("w", "c", "base", *[f"p{k}" for k in range(m)])))}
-    model = spark.sparkContext.broadcast(top)
+    place = {w: k for k, w in enumerate(most["w"].to_pylist())}
+    model = spark.sparkContext.broadcast((place, np.column_stack([most["base"].to_numpy(), most["c"].to_numpy() > 0, *[most[f"p{k}"].to_numpy() for k in range(m)]]) if place else np.zeros((0, m + 2))))
     end_log = np.log10(np.maximum(0.8 * ends / np.maximum(by_class, 1) + 0.2 * ends.sum() / max(n, 1), 1e-9)) + math.log10(1 - new)
     prior = np.log10((ends + 0.5) / (ends + 0.5).sum())
     bounded_batches(spark)
 
     def run(batches):
-        top, row, end_base = model.value, TaskContext.get().partitionId() << 40, math.log10(ends.sum() + 0.1) - norm
+        (place, known), row = model.value, TaskContext.get().partitionId() << 40
+        end = np.r_[math.log10(ends.sum() + 0.1) - norm, float(ends.sum() > 0), end_log + prior]
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids = b.column(0).to_pylist()
+            n, sums, rest, times = [], [], [], []
+            for t in b.column(1).to_pylist():
                 have = Counter(words_of(t))
-                base, known, rest, times, some, ks = end_base, int(ends.sum() > 0), [], [], [], []
-                for w, k in have.items():
-                    got = top.get(w)
-                    if got is None:
-                        rest.append(w)
-                        times.append(k)
-                    else:
-                        base += k * got[1]
-                        known += k * (got[0] > 0)
-                        some.append(got[2])
-                        ks.append(k)
-                score = end_log + prior + (np.array(ks, float) @ np.array(some) if ks else 0)
-                row += 1
-                for col, x in zip(cols, (row, held_out(i), have.total() + 1, known, base, score.tolist(), rest, times)):
-                    col.append(x)
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id", "row", "held_out", "n_tokens", "known", "base", "scores", "words", "times"])
+                at = np.array([place.get(w, -1) for w in have], np.int64)
+                ks = np.array(list(have.values()), np.int64)
+                n.append(int(ks.sum()) + 1)
+                sums.append(end + ks[at >= 0] @ known[at[at >= 0]])
+                rest.append([w for w, x in zip(have, at) if x < 0])
+                times.append(ks[at < 0])
+            sums = np.array(sums).reshape(-1, m + 2)
+            lists = pa.ListArray.from_arrays(np.arange(0, (m * len(ids)) + 1, m, dtype=np.int32), pa.array(sums[:, 2:].ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.arange(row, row + len(ids))), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(n, pa.int64()), pa.array(sums[:, 1].astype(np.int64)), pa.array(sums[:, 0]), lists, pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                names=["id", "row", "held_out", "n_tokens", "known", "base", "scores", "words", "times"],
+            )
+            row += len(ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = stored(docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).mapInArrow(run, f"id {kind}, row long, held_out boolean, n_tokens long, known long, base double, scores array<double>, words array<binary>, times array<long>"), "scored")
