@@ -348,12 +348,13 @@ def test_nearest(spark):
     assert projections.nearest(df.where("false"), df).count() == 0
 
 
-def test_hamming(spark):
+@pytest.mark.parametrize(("shard", "block"), [(64, 5), (4096, 4096), (3, 4096)])
+def test_hamming(spark, shard, block):
     g = np.random.default_rng(3)
     codes = [int(x) for x in g.integers(0, 1 << 62, 300)]
     rows = [(k, codes[k % 290] ^ (1 << k % 60 if k % 3 else 0)) for k in range(400)] + [(500 + k, codes[0]) for k in range(30)] + [(5, codes[5]), (None, 1), (999, None)]
     df = spark.createDataFrame([(i, c, 1) for i, c in rows], "vec_id long, code long, ids int")
-    got = multi_index.hamming_top_k(df, df.where("vec_id % 20 = 0"), k=4, shard_rows=64).collect()
+    got = multi_index.hamming_top_k(df, df.where("vec_id % 20 = 0"), k=4, shard_rows=shard, block=block).collect()
     real = sorted({(i, c) for i, c in rows if i is not None and c is not None})
     want = set()
     for q, c in ((i, c) for i, c in real if i % 20 == 0):
