@@ -14,7 +14,7 @@ from .common import bounded_batches, stored
 
 #: Distinct codes in a shard of the index, about; query codes that one task holds for a shard.
 SHARD, BLOCK = 4096, 4096
-#: Keys of a segment that a query looks up in the first round at most.
+#: Keys of a segment that a query looks up in the second round at most.
 TOGETHER = 1024
 
 
@@ -85,8 +85,8 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int
     bits of the segment. At radius r a query that is not yet covered goes to the shards whose first bits differ
     from its own in j <= r places, and looks up there the keys whose other bits differ in r - j. When radius r
     is done every code within parts * (r + 1) - 1 bits has been met, so a query whose kth distance is no more
-    than that is covered and asks no further. The first radii, of at most TOGETHER keys a segment, are one
-    round; each further one is its own. A shard that many codes share is dealt into parts, one that many
+    than that is covered and asks no further; the others hand out only codes no farther than their kth so far.
+    Radii 0 and 1 are the first round, those of at most TOGETHER keys a segment the next, each further one its own. A shard that many codes share is dealt into parts, one that many
     queries ask into blocks of queries.
 
     Rows with a null id or code take no part; repeated rows count once; an empty table gives no rows; fewer
@@ -113,7 +113,7 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int
     sizes = stored(index.groupBy("segment", "prefix").agg(F.ceil(F.count(F.lit(1)) / (4 * shard_rows)).cast("int").alias("shares")), "index-sizes")
     index = index.join(sizes, ["segment", "prefix"]).select("code", "ids", "segment", "prefix", F.pmod(F.xxhash64("code"), F.col("shares")).cast("int").alias("share"))
     index = stored(index, "index")
-    open_ = asked.select("code").distinct()
+    open_ = asked.select("code").distinct().withColumn("reach", F.lit(64))
     key = ["segment", "prefix", "share", "block"]
     kinds = "c long, vec_id long, distance int"
 
@@ -126,14 +126,13 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int
                 ids = left.column("ids").combine_chunks()
                 flat, ends = ids.flatten().to_numpy(), np.cumsum(np.diff(ids.offsets.to_numpy()))
                 starts = np.r_[0, ends[:-1]]
-                for c in right.column("code").to_pylist():
+                for c, reach in zip(right.column("code").to_pylist(), right.column("reach").to_pylist()):
                     q = np.int64(c).view(np.uint64)
                     own = int(q >> np.uint64(here[0] * width + low)) & ((1 << first) - 1)
                     j = (own ^ here[1]).bit_count()
                     at = keys.within(q, least - j, r - j)
-                    if not len(at):
-                        continue
                     far = np.bitwise_count(keys.codes[at] ^ q)
+                    at, far = at[far <= reach], far[far <= reach]
                     if len(at) > k + 1:  # codes beyond the (k + 1)st distance cannot be among the best
                         near = far <= np.partition(far, k)[k]
                         at, far = at[near], far[near]
@@ -147,18 +146,20 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int
 
     nth = F.row_number().over(Window.partitionBy("c").orderBy("distance", "vec_id"))
     best = spark.createDataFrame([], kinds)
-    start = max(r for r in range(width + 1) if sum(count_of(width, x) for x in range(r + 1)) <= max(TOGETHER, 1))
-    for least, r in [(0, start), *((x, x) for x in range(start + 1, width + 1))]:
+    start = max(1, *(r for r in range(width + 1) if sum(count_of(width, x) for x in range(r + 1)) <= TOGETHER))
+    for least, r in [(0, 1), *([(2, start)] if start > 1 else []), *((x, x) for x in range(start + 1, width + 1))]:
         masks = [F.lit(int(m)) for j in range(min(r, first) + 1) if least - j <= low for m in flips(first, j)]
-        visits = open_.select("code", segments).select("code", "x.segment", F.explode(F.transform(F.array(*masks), lambda m: F.col("x.prefix").bitwiseXOR(m.cast("int")))).alias("prefix"))
-        visits = visits.join(sizes, ["segment", "prefix"]).select("code", "segment", "prefix", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        visits = open_.select("code", "reach", segments).select("code", "reach", "x.segment", F.explode(F.transform(F.array(*masks), lambda m: F.col("x.prefix").bitwiseXOR(m.cast("int")))).alias("prefix"))
+        visits = visits.join(sizes, ["segment", "prefix"]).select("code", "reach", "segment", "prefix", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
         blocks = visits.groupBy("segment", "prefix", "share").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-        visits = visits.join(blocks, key[:3]).select("code", *key[:3], F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int").alias("block"))
+        visits = visits.join(blocks, key[:3]).select("code", "reach", *key[:3], F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int").alias("block"))
         data = index.join(blocks, key[:3]).select("code", "ids", *key[:3], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         found = data.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(in_shard(least, r), kinds)
         best = stored(best.unionByName(found).distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "best")
-        covered = best.groupBy("c").agg(F.count(F.lit(1)).alias("have"), F.max("distance").alias("kth")).where((F.col("have") >= min(k + 1, answers or 0)) & (F.col("kth") <= parts * (r + 1) - 1))
-        open_ = stored(open_.join(covered, F.col("code") == F.col("c"), "left_anti"), "open")
+        so_far = best.groupBy("c").agg(F.count(F.lit(1)).alias("have"), F.max("distance").alias("kth"))
+        covered = F.coalesce((F.col("have") >= min(k + 1, answers or 0)) & (F.col("kth") <= parts * (r + 1) - 1), F.lit(False))
+        reach = F.when(F.col("have") > k, F.col("kth")).otherwise(64).alias("reach")
+        open_ = stored(open_.drop("reach").join(so_far, F.col("code") == F.col("c"), "left").where(~covered).select("code", reach), "open")
         if not open_.take(1):
             break
     mine = asked.join(best, F.col("code") == F.col("c")).where(F.col("id") != F.col("vec_id"))
