@@ -8,36 +8,21 @@ from pyspark.sql import DataFrame
 from .bpe import encoder
 from .common import bounded_batches
 
-_PIECES: dict[str, object] = {}
-
-
-def _counter(path: str, chunk: int, overlap: int):
-    if path.endswith(".model"):
-        if path not in _PIECES:
-            import sentencepiece
-
-            _PIECES[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in _PIECES[path].encode([t or "" for t in texts], num_threads=1)]
-    count = encoder(path, chunk=chunk, overlap=overlap).count
-    return lambda texts: [count(t) for t in texts]
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 16, overlap: int = 256) -> DataFrame:
     """One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    A byte-level .json vocabulary is counted in chunks of `chunk` characters that overlap by `overlap` and
-    are spliced at boundaries both neighbours prove; overlaps double until there is one. A .model file is
-    counted by its library over the whole text.
+    Longer texts are encoded in chunks of `chunk` characters that overlap by `overlap` and are spliced where both
+    neighbours prove a stable boundary; overlaps double until there is one (bpe.py).
     Null text counts as empty (0 bytes, 0 tokens); a null id stays null; repeated rows stay repeated; an
     empty table gives an empty result; other columns are not read. No shuffle: one pass over the scan.
     """
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        count = _counter(tokenizer, chunk, overlap)
+        count = encoder(tokenizer, chunk=chunk, overlap=overlap).count
         for b in batches:
             texts = b.column(1).to_pylist()
-            n = count(texts)
+            n = [count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["id", "n_bytes", "n_tokens", "over_limit"],

@@ -70,12 +70,34 @@ def library():
 
 
 def test_bpe_equals_the_library(library):
-    bits = ["a", "the", " ", "  ", "\n", "\t", "é", "日本", "12", ".", "'s", "<|endoftext|>", "x" * 40, " foo", "\r\n", "\x1c", "🙂", "\x85", " hello world this is "]
+    bits = ["a", "the", " ", "  ", "\n", "\t", "é", "日本", "12", ".", "'s", "'", "re", "ll", "<|endoftext|>", "<|endof", "text|>", "x" * 40, " foo", "\r\n", "\x1c", "🙂", "\x85", " hello world this is "]
     whole, chunked = bpe.Encoder(BYTE_BPE), bpe.Encoder(BYTE_BPE, chunk=60, overlap=8)
-    for _ in range(400):
-        x = "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))
+    for _ in range(600):
+        x = "".join(rng.choice(bits) for _ in range(rng.randint(0, 80)))
         want = np.array(library(x), "<u4").tobytes()
         assert whole.ids(x) == want == chunked.ids(x), x
+    assert chunked.spliced["splices"] > 300 and chunked.spliced["widened"]
+
+
+def test_pieces_equal_the_library():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    bits = ["a", "the", " ", "  ", "\n", "\t", "é", "日本", "12", ".", "x" * 30, " foo", "🙂", " hello world this is ", "▁", "\u3000"]
+    chunked = bpe.Encoder(PIECES, chunk=60, overlap=8)
+    for _ in range(400):
+        x = "".join(rng.choice(bits) for _ in range(rng.randint(0, 80)))
+        assert np.frombuffer(chunked.ids(x), "<u4").tolist() == sp.encode(x), x
+    assert chunked.spliced["splices"] > 30
+
+
+@pytest.mark.parametrize("unit", [" word and another", "日本語の文。\n", "日本語", "x", " ", "<|endoftext|> so", "a\n\n  b"])
+def test_huge_texts_at_the_default_chunk(library, unit):
+    x = unit * (150_000 // len(unit))
+    e = bpe.Encoder(BYTE_BPE)
+    assert e.ids(x) == np.array(library(x), "<u4").tobytes()
+    if len(set(unit)) > 3:
+        assert e.spliced["splices"] == 2
 
 
 def test_token_counts(docs, nothing, library):
