@@ -1,15 +1,18 @@
 """Mixture-controlled packing by deficit round-robin over source queues (operator 6).
 
 Every window of `window` sequences takes tokens from each source's queue in the target proportions. What a
-source is short of its exact share stays as its deficit and is paid in a later window. Deficits after n tokens
-depend on n alone: the tokens of all queues are served in the order of (k + 1/2) / weight for the k-th token of
-a queue, so the count that each source has got by any point can be computed on the spot. Partitions thus carry
-deficits over from one to the next without waiting for each other, and no queue is sorted or gathered.
+source is short of its exact share stays as its deficit and is paid in a later window. The round-robin gives each
+next token to the queue that is furthest behind, the one with the least (k + 1/2) / weight for its next token k;
+a queue that runs dry leaves its share to the others. Its counters after n tokens depend on n alone, so no
+partition runs the rounds before its own: it computes the counters at its first window, deficits included,
+and goes on from there. Thus deficits carry over between partitions that do not wait for each other, and no
+queue is sorted or gathered. The tests hold the counters against the rounds run one token at a time.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +94,18 @@ class Windows:
             self.known[w] = served(min(w * self.tokens, self.all), self.totals, self.weights)
         return self.known[w]
 
+    def deficit(self, w: int, source: int) -> float:
+        """Tokens that the source is short of its exact share when window w is full; below zero: ahead of it.
+
+        The exact share is that of the queues which still have tokens then; a dry queue is owed nothing.
+        """
+        got = self.upto(w + 1)
+        live = [s for s, t in enumerate(self.totals) if got[s] < t and self.weights[s] > 0]
+        if source not in live:
+            return 0.0
+        all_weights = sum(self.weights[s] for s in live)
+        return sum(got[s] for s in live) * self.weights[source] / all_weights - got[source]
+
     def holding(self, source: int, at: int) -> int:
         """The window that holds the source's token number `at`."""
         low, high = 0, -(-self.all // self.tokens)
@@ -103,13 +118,14 @@ class Windows:
         return low
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, window: int = 64, weights: dict[str, float] | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, window: int = 64, weights: dict[str, float] | None = None, temper: float = 1.0, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Packs every document (its ids, then `end_id`) into sequences of `length` tokens, cut freely.
 
-    weights: target token proportions by source; None takes the sources' own shares, so that every window
-    keeps them to the end. Sources without a weight are packed after the others. Only the very last sequence
-    can be short (it is to be padded). Returns a row per piece: id, source, start, length, ids_crc32 (of the
-    little-endian unsigned 32-bit ids), ids (binary), doc_tokens, sequence_id, offset, window_id.
+    weights: target token proportions by source; None takes the sources' own shares to the power `temper`: 1 keeps
+    them in every window to the end, less favours the small until they run dry. Sources without a weight are
+    packed after the others. Only the very last sequence can be short (it is to be padded). Returns a row per
+    piece: id, source, start, length, ids_crc32 (of the little-endian unsigned 32-bit ids), ids (binary),
+    doc_tokens, sequence_id, offset, window_id, deficit (of the source, in tokens, when the window is full).
 
     Null or empty text gives the end id alone; a null source is a source of its own; null ids, ties and
     repeated rows are packed as they are; an empty table gives no rows; other columns are not read.
@@ -145,7 +161,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, window: int = 64,
     totals = sorted(((r["source"], r["tokens"]) for r in by_source.toLocalIterator()), key=lambda x: (x[0] is not None, x[0] or ""))
     names = {s: k for k, (s, _) in enumerate(totals)}
     counts = [n for _, n in totals]
-    shares = counts if weights is None else [round(1_000_000 * weights.get(s, 0)) for s, _ in totals]
+    if weights is None:
+        shares = counts if temper == 1 else [max(1, round(1_000_000 * n**temper / max(counts) ** temper)) for n in counts]
+    else:
+        shares = [round(1_000_000 * weights.get(s, 0)) for s, _ in totals]
     lookup = base.select(F.col("source").alias("s"), F.col("part").alias("p"), "base")
     if base.count() <= SMALL:
         lookup = F.broadcast(lookup)
@@ -153,9 +172,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, window: int = 64,
 
     def cut(batches):
         grid = Windows(counts, shares, window * length)
+        owed = lru_cache(100_000)(grid.deficit)
         held = 0
         for b in batches:
-            cols: list[list] = [[] for _ in range(10)]
+            cols: list[list] = [[] for _ in range(11)]
             for k, (i, s, at, n, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)))):
                 ids = (np.frombuffer(raw, "<u2").astype("<u4") if len(raw) == 2 * n else np.frombuffer(raw, "<u4")).tobytes()
                 src, start = names[s], 0
@@ -168,12 +188,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, window: int = 64,
                     here = sum(past[:src]) - sum(first[:src]) + at + start - first[src] + w * grid.tokens
                     size = min(n - start, past[src] - at - start, length - here % length)
                     x = ids[4 * start : 4 * (start + size)]
-                    for c, v in zip(cols, (i, s, start, size, zlib.crc32(x), x, n, here // length, here % length, w)):
+                    for c, v in zip(cols, (i, s, start, size, zlib.crc32(x), x, n, here // length, here % length, w, owed(w, src))):
                         c.append(v)
                     start += size
                 held = w
-            kinds = [b.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "source", "start", "length", "ids_crc32", "ids", "doc_tokens", "sequence_id", "offset", "window_id"])
+            kinds = [b.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "source", "start", "length", "ids_crc32", "ids", "doc_tokens", "sequence_id", "offset", "window_id", "deficit"])
 
-    schema = f"id {kind}, source string, start long, length long, ids_crc32 long, ids binary, doc_tokens long, sequence_id long, offset long, window_id long"
+    schema = f"id {kind}, source string, start long, length long, ids_crc32 long, ids binary, doc_tokens long, sequence_id long, offset long, window_id long, deficit double"
     return placed.mapInArrow(cut, schema).withColumnRenamed("id", id_col)

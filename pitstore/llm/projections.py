@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
@@ -88,12 +88,14 @@ def cosines(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def search(ids, vectors, points, queries, k: int, cut: float):
-    """Best k of one cell for each query (id, vector, point, reach): verified in order of projected distance.
+    """(query, vec_id, cosine) of the best k of one cell for each query (id, vector, point, reach), and
+    (query, None, None, vectors verified): verified in order of projected distance.
 
     The cell's kd-tree hands out leaves by their distance to the query's projection. A query stops when the
     next leaf is so far that a vector as near as its kth best would project closer with probability p: the
-    squared projected distance over the squared true one is a chi-square variable. reach: the squared distance
-    of the kth best that the query has already.
+    squared projected distance over the squared true one is a chi-square variable. The same test holds each
+    vector of a leaf against its own projected distance before its cosine is computed. reach: the squared
+    distance of the kth best that the query has already.
     """
     tree = Tree(points, max(1, len(points) // LEAF))
     leaf = tree.cells(points)
@@ -106,7 +108,7 @@ def search(ids, vectors, points, queries, k: int, cut: float):
     for qid, q, at, reach in queries:
         far = box_distance(low, high, at)
         turn = np.argsort(far, kind="stable")
-        best_s, best_i, step, pos = np.zeros(0), np.zeros(0, ids.dtype), 4, 0
+        best_s, best_i, step, pos, verified = np.zeros(0), np.zeros(0, ids.dtype), 4, 0, 0
         while pos < len(turn):
             edge = reach
             if len(best_s) >= k:
@@ -114,18 +116,22 @@ def search(ids, vectors, points, queries, k: int, cut: float):
             if far[turn[pos]] > cut * max(edge, 1e-12):
                 break
             rows = np.concatenate([np.arange(starts[j], ends[j]) for j in turn[pos : pos + step]])
-            rows = rows[ids[rows] != qid]
+            gap = ((points[rows] - at) ** 2).sum(1)
+            rows = rows[(ids[rows] != qid) & (gap <= cut * max(edge, 1e-12))]
+            verified += len(rows)
             s = np.concatenate([best_s, cosines(vectors[rows], q)])
             i = np.concatenate([best_i, ids[rows]])
             top = np.lexsort((i, -s))[:k]
             best_s, best_i = s[top], i[top]
             pos, step = pos + step, min(64, step * 2)
-        out += [(qid, int(i), float(s)) for i, s in zip(best_i, best_s)]
+        out += [(qid, int(i), float(s), 0) for i, s in zip(best_i, best_s)]
+        out.append((qid, None, None, verified))
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, p: float = 0.97, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found by cosine, over all vectors but its own.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 32, p: float = 0.9, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
+    """(query_id, rank, vec_id, score, verified): each query's k nearest found by cosine, over all vectors but its
+    own; verified: how many vectors its cosine was computed with.
 
     Unit vectors are projected on m Gaussian directions. An upper kd-tree, fitted on at most 20 000 projections,
     deals every vector to a cell of about `cell`; a cell that still is larger (copies of one vector) is dealt
@@ -134,13 +140,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, p: f
     Scores are exact cosines; ties go to the smaller id.
 
     Null ids, vectors that are null, zero, of another length than most, or with null or non-finite components
-    take no part. Copies count one by one. Queries are rows of `vectors` by id. Empty tables give no rows;
-    other columns are not read. The directory of boxes (m pairs of numbers a cell) is the only thing sent to all.
+    take no part; lengths beyond the range of squares are scaled by a power of two, which changes no cosine.
+    Copies count one by one. Queries are rows of `vectors` by id; of rows with one id the least in bytes asks, and
+    none of them answers it. Empty tables give no rows; other columns are not read. The directory of boxes (m pairs of numbers a cell) is the only thing sent to all.
     """
     spark = vectors.sparkSession
     bounded_batches(spark, 5_000)
     wide = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
     if wide is None or wide["d"] < 1:
         return empty
     dim = wide["d"]
@@ -153,9 +160,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, p: f
                 if i is None or v is None or len(v) != dim or None in v:
                     continue
                 x = np.array(v, np.float64)
-                size = np.sqrt((x * x).sum())
-                if not np.isfinite(size) or size == 0:
+                most = np.abs(x).max()
+                if not np.isfinite(most) or most == 0:
                     continue
+                if not 1e-100 < most < 1e100:
+                    x = np.ldexp(x, -int(np.frexp(most)[1]))
+                size = np.sqrt((x * x).sum())
                 for c, y in zip(cols, (i, x.tobytes(), (x / size @ turn).tobytes())):
                     c.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["id", "v", "p"])
@@ -198,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, p: f
     else:
         dealt = placed.withColumn("parts", parts_of)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    asked = placed.join(queries.select(F.col(id_col).cast("long").alias("q")).where("q is not null").distinct(), F.col("id") == F.col("q"), "left_semi").dropDuplicates(["id"])
+    asked = placed.join(queries.select(F.col(id_col).cast("long").alias("q")).where("q is not null").distinct(), F.col("id") == F.col("q"), "left_semi").groupBy("id").agg(F.min(F.struct("v", "p", "cell")).alias("x")).select("id", "x.*")
 
     def home(batches):
         for b in batches:
@@ -224,7 +234,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, p: f
         v, at = (np.array([np.frombuffer(x) for x in left.column(c).to_pylist()]) for c in "vp")
         asked_here = ((i, np.frombuffer(a), np.frombuffer(b), d) for i, a, b, d in zip(*(right.column(c).to_pylist() for c in ("id", "v", "p", "reach"))))
         got = search(ids, v, at, asked_here, k, cut) if len(ids) else []
-        return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()), "vec_id": pa.array([g[1] for g in got], pa.int64()), "score": pa.array([g[2] for g in got], pa.float64())})
+        return pa.table({c: pa.array([g[n] for g in got], kind) for n, (c, kind) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("verified", pa.int64())))})
 
     def look(visits: DataFrame) -> DataFrame:
         visits = stored(visits, "visits")
@@ -233,13 +243,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, p: f
         data = dealt.join(blocks, here).select("id", "v", "p", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         ask = visits.join(blocks, here).select("id", "v", "p", "reach", "cell", "part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
         key = ["cell", "part", "block"]
-        return data.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(in_cell, "query_id long, vec_id long, score double")
+        return data.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(in_cell, "query_id long, vec_id long, score double, verified long")
 
     first = stored(look(asked.mapInArrow(home, "id long, v binary, p binary, cell int, part int, reach double")), "nearest")
-    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, 2 - 2 * F.min("score")).otherwise(F.lit(1e300)).alias("reach"))
+    kth = first.groupBy("query_id").agg(F.when(F.count("vec_id") >= k, 2 - 2 * F.min("score")).otherwise(F.lit(1e300)).alias("reach"))
     again = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", "p", "cell", F.coalesce("reach", F.lit(1e300)).alias("reach"))
     second = look(again.mapInArrow(visit, "id long, v binary, p binary, cell int, part int, reach double"))
-    from pyspark.sql import Window
-
+    found = first.unionByName(second)
+    verified = found.groupBy(F.col("query_id").alias("q")).agg(F.sum("verified").alias("verified"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return first.unionByName(second).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.where("vec_id is not null").drop("verified").withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(verified, F.col("query_id") == F.col("q")).select("query_id", "rank", "vec_id", "score", "verified")

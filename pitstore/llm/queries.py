@@ -24,7 +24,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.where("vec_id % 50 = 0"), k=5, m=8, p=0.97)
+    return nearest(rows, rows.where("vec_id % 50 = 0"), k=5, m=32, p=0.9)
 
 
 def op2_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +130,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, length=1024)
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window_id")
+    """Every document in sequences of 1024 tokens; targets: the sources' token shares to the power 0.7."""
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, length=1024, temper=0.7)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window_id", "deficit")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
