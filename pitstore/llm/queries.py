@@ -23,6 +23,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every 50th vector: 32 projections, chi-square test at 0.9."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where("vec_id % 50 = 0"), k=5, m=32, p=0.9)
 
@@ -50,13 +51,18 @@ def topic_of(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(" | ")), "table").when(words >= 400, "long").when(words >= 100, "medium").otherwise("short")
 
 
-def mixed(docs: DataFrame, budget: float | None = None) -> DataFrame:
+#: Target token shares of the languages in op3_mixing; sources and topics aim at their own shares to the power 0.9.
+LANGUAGES = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def mixed(docs: DataFrame, budget: float | None = None, targets: dict[str, dict] | None = None) -> DataFrame:
     dims = {"source": docs["source"], "lang": docs["lang"], "topic": topic_of(docs["text"])}
-    return calibrated(docs, dims, tokens=F.regexp_count(docs["text"], F.lit(N_WORDS)), power=0.9, rounds=10, seed=3, budget=budget)
+    return calibrated(docs, dims, tokens=F.regexp_count(docs["text"], F.lit(N_WORDS)), power=0.9, rounds=10, seed=3, budget=budget, targets=targets)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed(table(spark, sf_dir, "documents"))
+    """Every document's token weight and sampling probability: languages raked to LANGUAGES."""
+    out = mixed(table(spark, sf_dir, "documents"), targets={"lang": LANGUAGES})
     return out.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
@@ -67,9 +73,11 @@ def _op3_sql() -> str:
         steps.append(f"s{k} AS MATERIALIZED (SELECT source, lang, topic, tokens, g_source, g_lang, g_topic, w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM {last})")
         last = f"s{k}"
     goal = ", ".join(f"g_{d}" for d in ("source", "lang", "topic"))
-    powers = ", ".join(f"(SELECT {d}, pow(sum(tokens) / (SELECT sum(tokens) FROM cells), 0.9) AS g_{d} FROM cells GROUP BY {d}) AS {d}s" for d in ("source", "lang", "topic"))
-    joins = " AND ".join(f"c.{d} = {d}s.{d}" for d in ("source", "lang", "topic"))
-    scaled = ", ".join(f"{d}s.g_{d} / (SELECT sum(g) FROM (SELECT pow(sum(tokens) / (SELECT sum(tokens) FROM cells), 0.9) AS g FROM cells GROUP BY {d})) * (SELECT sum(tokens) FROM cells) AS g_{d}" for d in ("source", "lang", "topic"))
+    stated = "CASE WHEN sum(tokens) > 0 THEN CASE lang " + " ".join(f"WHEN '{v}' THEN {x}" for v, x in LANGUAGES.items()) + " ELSE 0.0 END ELSE 0.0 END::DOUBLE"
+    aims = {d: stated if d == "lang" else "pow(sum(tokens) / (SELECT sum(tokens) FROM cells), 0.9)" for d in ("source", "lang", "topic")}
+    powers = ", ".join(f"(SELECT {d}, {aim} AS g_{d} FROM cells GROUP BY {d}) AS {d}s" for d, aim in aims.items())
+    joins = " AND ".join(f"c.{d} = {d}s.{d}" for d in aims)
+    scaled = ", ".join(f"{d}s.g_{d} / (SELECT sum(g) FROM (SELECT {aim} AS g FROM cells GROUP BY {d})) * (SELECT sum(tokens) FROM cells) AS g_{d}" for d, aim in aims.items())
     return rf"""
 WITH words AS (
   SELECT doc_id, source, lang, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens FROM documents
@@ -123,6 +131,7 @@ CATEGORIES = ["quality", "toxic"]
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities of the chain; toxic from 0.4 on."""
     docs = table(spark, sf_dir, "documents")
     chain = fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     out = score(docs, chain, CATEGORIES)
@@ -136,19 +145,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked up to 2 differing bits."""
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes under a string of 400 bytes that starts anywhere else."""
     out = remove_repeats(table(spark, sf_dir, "documents"), size=400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; the limit is 512."""
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer=BYTE_BPE, limit=512)
 
 
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document: word unigrams, and the sum over all segmentations into pieces."""
     return likelihood(table(spark, sf_dir, "documents"), tokenizer=PIECES, rounds=1)
 
 
