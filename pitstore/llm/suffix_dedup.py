@@ -11,6 +11,12 @@ a repeated string can touch, and the suffix arrays are built over shards of that
 3. Buckets that share a core but differ form the shards' strings: up to 31 bytes, the core as one symbol, up to
    31 bytes. The suffix array by induced sorting and the permuted common prefixes tell which starts share 32
    symbols, hence `size` bytes, with a neighbour.
+
+Equality: texts and cores are equal where 128 bits of hash are. Stretches are compared by 64 bits with the others
+of their anchor only, buckets and counted windows with those of their core only, so n of them in one such group
+give n * n / 2^65 wrong matches to be expected: one in 37 for a group of a thousand million different strings.
+Most repeats of a corpus are copies of passages far longer than `size`; they are whole stretches and end in step
+1. The suffix arrays decide where a passage begins and ends.
 """
 
 from __future__ import annotations
@@ -247,12 +253,12 @@ def repeated(docs: DataFrame, size: int = 400, text_col: str = "text") -> DataFr
                     for k in range((p - j) // STARTS, (p - i) // STARTS + 1):
                         end = p - STARTS * k  # the last start of a whole bucket, where the core opens
                         a, z = max(i, end - STARTS + 1), min(j, end)
-                        c = xxhash.xxh3_64_intdigest(raw[end : end + core], (h + k) & ((1 << 64) - 1)) - (1 << 63)
+                        c = xxhash.xxh3_128_digest(raw[end : end + core], (h + k) & ((1 << 64) - 1))
                         like = xxhash.xxh3_64_intdigest(raw[a : z + size], end - a) - (1 << 63)
                         rows.append((c, like, key, a, z, x["done"], raw[a:end], raw[end + core : z + size]))
-            yield _columns(rows, ["core", "alike", "print", "a", "b", "done", "left", "right"], [BIN if n in (2, 6, 7) else pa.bool_() if n == 5 else I8 for n in range(8)])
+            yield _columns(rows, ["core", "alike", "print", "a", "b", "done", "left", "right"], [BIN if n in (0, 2, 6, 7) else pa.bool_() if n == 5 else I8 for n in range(8)])
 
-    cuts = "core long, alike long, print binary, a long, b long, done boolean, left binary, right binary"
+    cuts = "core binary, alike long, print binary, a long, b long, done boolean, left binary, right binary"
     buckets = stored(joined.mapInArrow(cut, cuts), "buckets")
     light = buckets.select("core", "alike", "print", "a", "b", "done").distinct()  # texts that stand twice came twice
     like = light.groupBy("core", "alike").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("print", "a", "b")).alias("at"), F.min("done").alias("done"))
@@ -289,9 +295,9 @@ def repeated(docs: DataFrame, size: int = 400, text_col: str = "text") -> DataFr
                 for x in range(z - a + 1):
                     w = left[x:] + b"\0" + right[: STARTS - 1 - (len(left) - x)]
                     rows.append((core, len(left) - x, xxhash.xxh3_64_intdigest(w) - (1 << 63), key, a + x, settled))
-            yield _columns(rows, ["core", "o", "w", "print", "a", "settled"], [I8, I4, I8, BIN, I8, pa.bool_()])
+            yield _columns(rows, ["core", "o", "w", "print", "a", "settled"], [BIN, I4, I8, BIN, I8, pa.bool_()])
 
-    crowd = strings.where(F.col("d") > CROWD).mapInArrow(windows, "core long, o int, w long, print binary, a long, settled boolean")
+    crowd = strings.where(F.col("d") > CROWD).mapInArrow(windows, "core binary, o int, w long, print binary, a long, settled boolean")
     seen = crowd.groupBy(F.col("core").alias("c"), F.col("o").alias("oo"), F.col("w").alias("ww")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = crowd.where("not settled").join(seen, (F.col("core") == F.col("c")) & (F.col("o") == F.col("oo")) & (F.col("w") == F.col("ww"))).select("print", "a", F.col("a").alias("b"))
     every = whole.unionByName(some).unionByName(sorted_).unionByName(counted)

@@ -127,14 +127,15 @@ class Chain:
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Chain:
     """Fits the chain on at most `fit_rows` labelled documents, chosen by a hash of their ids.
 
-    A document's repeated labels count as the largest; null labels are left out for their category; labels
+    A document's repeated labels count as the largest, of repeated rows the least text does; null labels are left out for their category; labels
     without a document and documents without a text take no part.
     """
     bounded_batches(docs.sparkSession)
     named = [F.max(labels[c].cast("double")).alias(f"y{k}") for k, c in enumerate(categories)]
     some = labels.where(labels[id_col].isNotNull()).groupBy(labels[id_col].alias("k")).agg(*named).orderBy(F.xxhash64("k"), "k").limit(fit_rows)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
-    joined = rows.join(F.broadcast(some), F.col("id") == F.col("k")).select("id", "text", *[f"y{k}" for k in range(len(categories))])
+    labelled = rows.join(F.broadcast(some), F.col("id") == F.col("k"))
+    joined = labelled.groupBy("id").agg(F.min("text").alias("text"), *[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))])
 
     def shrink(batches):
         for b in batches:
@@ -173,7 +174,11 @@ def score(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "d
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, category: int, threshold: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The documents whose probability of the category is under the threshold, with all their columns."""
+    """The documents whose probability of the category is under the threshold, with all their columns.
+
+    Null and empty texts are judged as texts without words; null ids and repeated rows are judged row by row;
+    an empty table gives no rows; only the text is read.
+    """
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(chain)
     place = docs.columns.index(text_col)

@@ -145,6 +145,14 @@ def test_packing(docs, nothing, library):
     assert packing.pack(nothing, BYTE_BPE).count() == 0
     uneven = packing.pack(docs, BYTE_BPE, length=64, window=4, weights={"s0": 1, "s3": 3}).collect()
     assert sum(r.length for r in uneven) == total
+    tempered = packing.pack(docs, BYTE_BPE, length=64, window=4, temper=0.5).collect()
+    assert sum(r.length for r in tempered) == total and all(abs(r.deficit) < 1.5 for r in tempered)
+    aim = {s: n**0.5 for s, n in shares.items()}
+    opened = collections.Counter()
+    for r in tempered:
+        if r.window_id == 0:
+            opened[r.source] += r.length
+    assert all(abs(opened[s] - 256 * a / sum(aim.values())) < 1.5 for s, a in aim.items())
 
 
 # --- line dedup ---------------------------------------------------------------------------------------------
@@ -340,6 +348,19 @@ def test_suffix_dedup(docs, nothing, monkeypatch, crowd):
         suffix_dedup.repeated(docs, 50)
 
 
+def test_anchors_are_those_of_each_window_wherever_a_piece_ends(monkeypatch):
+    raw, size = "".join(rng.choice("ab é") for _ in range(3000)).encode(), 100
+
+    def of_windows():
+        return {x: (h, p) for h, p, i, j in suffix_dedup.anchors(raw, size) for x in range(i, j + 1)}
+
+    whole = of_windows()
+    assert sorted(whole) == list(range(len(raw) - size + 1))
+    for piece in (1, 64, 333):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        assert of_windows() == whole
+
+
 # --- searches -------------------------------------------------------------------------------------------------
 
 
@@ -370,6 +391,15 @@ def test_nearest(spark):
     assert projections.nearest(df.where("false"), df).count() == 0
 
 
+def test_nearest_scales_norms_and_settles_repeated_ids(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 2e-300]), (2, [5.0, 5.0]), (3, [1.0, -1.0]), (4, [float("inf"), 1.0]), (0, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = projections.nearest(df, df.where("vec_id in (0, 2)"), k=2, m=8).collect()
+    found = {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in got}
+    assert found[2, 1] == (0, 1.0) and found[2, 2] == (1, round(3 / 10**0.5, 9))
+    assert {v for (q, _), (v, _) in found.items() if q == 0} <= {1, 2, 3} and all(r.verified >= 1 for r in got)
+
+
 @pytest.mark.parametrize(("shard", "block"), [(64, 5), (4096, 4096), (3, 4096)])
 def test_hamming(spark, shard, block):
     g = np.random.default_rng(3)
@@ -427,6 +457,34 @@ def test_toxicity_on_held_out_rows(spark, docs, nothing):
     assert toxicity.drop_toxic(docs, none, 0).count() == len(ROWS)
 
 
+def test_later_models_see_out_of_fold_logits(monkeypatch):
+    g, seen, real = np.random.default_rng(5), [], toxicity.Linear
+    sizes = np.full(80, 12)
+    rows = toxicity.Rows(g.integers(0, 30, 960), sizes, [f"w{k}" for k in range(30)])
+    y = np.column_stack([g.integers(0, 2, 80), g.integers(0, 2, 80)]).astype(float)
+
+    def recorded(part, before, labels):
+        seen.append(before)
+        return real(part, before, labels)
+
+    monkeypatch.setattr(toxicity, "Linear", recorded)
+    toxicity.Chain(rows, y, folds=4)
+    want = np.zeros(80)
+    for f in range(4):
+        out = np.arange(80) % 4 == f
+        model = real(rows.take(np.flatnonzero(~out)), np.zeros((60, 0)), y[~out, 0])
+        want[out] = model.logits_of(rows.take(np.flatnonzero(out)), np.zeros((20, 0)))
+    assert np.allclose(seen[-1][:, 0], want)
+
+
+def test_toxicity_takes_the_least_of_repeated_texts(spark):
+    df = spark.createDataFrame([(k, f"good {text(5)}" if k % 2 else f"bad {text(5)}") for k in range(60)] + [(1, "zzz")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(60)], "doc_id long, toxic int")
+    chain = toxicity.fit(df, labels, ["toxic"])
+    assert "zzz" not in chain.models[0].weights
+    assert toxicity.drop_toxic(df, chain, 0).where("text like 'bad %'").count() == 0
+
+
 def test_lattice_sums_over_all_segmentations():
     sp, plain, byte = lattice.vocabulary(PIECES)
     g = np.random.default_rng(4)
@@ -464,6 +522,34 @@ def test_likelihood(docs, nothing, frequent):
     assert lattice.likelihood(nothing, PIECES).count() == 0
 
 
+def test_likelihood_of_whole_texts_by_enumeration(spark, monkeypatch):
+    kept, real = [], lattice.piece_logs
+    monkeypatch.setattr(lattice, "piece_logs", lambda *a, **b: kept.append(real(*a, **b)) or kept[-1])
+    bits = ["to", "ta", "日", "né", "abc", "cab"]
+    rows = [(k, " ".join(rng.choice(bits) + rng.choice(["", "s", "ed"]) for _ in range(1 + k % 7)), "xy"[k % 2]) for k in range(40)] + [(50, None, "x"), (51, "unseen wörd", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.score for r in lattice.likelihood(df, PIECES, frequent=4).collect()}
+    held, words = (lambda i: zlib.crc32(str(i).encode()) % 10 == 0), (lambda t: (t or "").lower().split())
+    c = {z: collections.Counter(w for i, t, g in rows if g == z and not held(i) for w in words(t)) for z in "xy"}
+    ends = {z: sum(1 for i, _, g in rows if g == z and not held(i)) for z in "xy"}
+    total = {z: sum(c[z].values()) + ends[z] for z in "xy"}
+    n, both = sum(total.values()), c["x"] + c["y"]
+    new = min(0.5, max((sum(1 for k in both.values() if k == 1) + 1) / (n + 2), 1e-6))
+
+    def spelled(x, s, at=0):
+        return 1.0 if at == len(s) else sum(math.exp(lp) * spelled(x, s, e) for e, lp, _ in x.arcs(s, at))
+
+    for i, t, _ in rows:
+        sums = []
+        for z, logs in zip("xy", kept[-1]):
+            x = lattice.Lattice(PIECES, logs)
+            p = (0.8 * ends[z] / total[z] + 0.2 * sum(ends.values()) / n) * (1 - new) * (ends[z] + 0.5) / (sum(ends.values()) + 1)
+            for w in words(t):
+                p *= (1 - new) * (0.8 * c[z][w] / total[z] + 0.2 * both[w] / n) + new * spelled(x, "▁" + w)
+            sums.append(p)
+        assert abs(got[i] - math.log10(sum(sums))) < 1e-9
+
+
 @pytest.mark.parametrize("cells", [mixing.CELLS, 0])
 def test_mixing_by_budget_and_targets(spark, cells):
     rows = [(k, "w " * 50, "ab"[k % 3 == 0], f"s{k % 4}") for k in range(400)]
