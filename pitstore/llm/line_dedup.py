@@ -11,26 +11,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines(text: Column) -> Column:
-    """Array of the lines that have a word: position, hash, words."""
-    lines = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("pos"), F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(WORD)).alias("words")))
+    """Array of the lines that have a word: position, two hashes (128 bits that tell lines apart), words."""
+    lines = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("pos"), F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"), F.regexp_count(line, F.lit(WORD)).alias("words")))
     return F.filter(lines, lambda x: x["words"] > 0)
 
 
-def _window(at: list[Column], min_words: int) -> Column:
-    """The window that opens at the first of these lines: the fewest that have `min_words` words, or all; null at the end.
+def _made(lines: list[Column]) -> Column:
+    """A window of these lines: its fingerprint (the least line hash, selected by winnowing), how many lines lie
+    before that one, two hashes of its contents, and the positions it covers."""
+    k, least = len(lines), lines[0]["h"]
+    if k > 1:
+        least = F.least(*[y["h"] for y in lines])
+    back = F.coalesce(*[F.when(y["h"] == least, F.lit(n)) for n, y in enumerate(lines)]).cast("byte")
+    return F.struct(
+        least.alias("fingerprint"),
+        back.alias("back"),
+        F.xxhash64(F.lit(k), *[y["h"] for y in lines]).alias("content"),
+        F.xxhash64(F.lit(k), *[y["g"] for y in lines]).alias("content2"),
+        lines[0]["pos"].alias("pos"),
+        F.array(*[y["pos"] for y in lines]).alias("covers"),
+    )
 
-    It has the positions it covers, the hash of its contents and its fingerprint: the least line hash.
-    """
+
+def _window(at: list[Column], min_words: int) -> Column:
+    """The window that opens at the first of these lines: the fewest that have `min_words` words, or all; null at the end."""
     total, pick = F.lit(0), None
     for k, x in enumerate(at, 1):
         total = total + x["words"]
-        hashes = [y["h"] for y in at[:k]]
-        made = F.struct(
-            (F.least(*hashes) if k > 1 else hashes[0]).alias("fingerprint"),
-            F.xxhash64(F.lit(k), *hashes).alias("content"),
-            at[0]["pos"].alias("pos"),
-            F.array(*[y["pos"] for y in at[:k]]).alias("covers"),
-        )
+        made = _made(at[:k])
         ok = (total >= min_words) if k < len(at) else x["h"].isNotNull()
         pick = F.when(ok, made) if pick is None else pick.when(ok, made)
     return pick
@@ -48,25 +56,25 @@ def _tails(at: list[Column], min_words: int) -> list[Column]:
             head = head + x["words"]
         for x in at[1:k]:
             tail = tail + x["words"]
-        hashes = [y["h"] for y in at[:k]]
-        made = F.struct(F.least(*hashes).alias("fingerprint"), F.xxhash64(F.lit(k), *hashes).alias("content"), at[0]["pos"].alias("pos"), F.array(*[y["pos"] for y in at[:k]]).alias("covers"))
-        out.append(F.when((head >= min_words) & (tail < min_words), made))
+        out.append(F.when((head >= min_words) & (tail < min_words), _made(at[:k])))
     return out
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", extend: bool = True) -> DataFrame:
     """(id, print, runs): for each document with repeated lines, the maximal runs [first, last] to delete.
 
-    1. Winnowing: every window of lines names the least of its line hashes; equal windows name the same one.
-    2. Fingerprints at one position only are dropped; the windows of the others are joined on the position
-       where the same window stands first, by (id, hash of the text, line).
-    3. A match is extended line by line in both directions: the window before or after is looked up in the
-       same way, and neighbours with an earlier position of their own join up to a maximal run. Windows are the
-       fewest lines from a first one on, which reach back to the run's first line, and the fewest up to a last
-       one, which reach on to its last: any run that counts and stands earlier is covered by those inside it.
-       Without extend there are no windows of the second kind, and short lines at a run's end stay.
-    The first position of a window is aggregated before the shuffle, so a line that a third of all documents
-    hold is one row for each task, and no two documents are ever paired.
+    1. Winnowing: every window of lines selects its least line hash as a fingerprint. Any run that counts has a
+       whole window inside, and equal windows select the same line, so two equal runs share a fingerprint.
+    2. Fingerprints are joined with the place, by (id, hash of the text, line), where the same one first stands
+       in the same surroundings: the lines of the window before and after it, as many (`back`, in the content).
+       A line that a third of all documents hold cannot be joined with every earlier place, and its first place
+       alone may have other neighbours; with the surroundings in the key no two documents are ever paired.
+    3. A match is extended in both directions by looking up the next window on either side in the same way;
+       those with an earlier place of their own join up to a maximal run. Windows are the fewest lines from a
+       first one on, which reach back to the run's first line, and the fewest up to a last one, which reach on
+       to its last: any run that counts and stands earlier is covered by those inside it. Without extend there
+       are no windows of the second kind, and short lines at a run's end stay.
+    The first place is aggregated before the shuffle: a hot line is one row for each task.
     """
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).where(F.col("t").isNotNull())
     lines = base.select("id", F.xxhash64("t").alias("print"), _lines(F.col("t")).alias("full"))
@@ -79,11 +87,9 @@ def repeated_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50, id_c
         windows = opened.select("id", "print", _window(at, min_words).alias("w")).where("w is not null").select("id", "print", "w.*")
     windows = stored(windows, "line-windows")
     place = F.struct("id", "print", "pos")
-    shared = windows.groupBy("fingerprint").count().where("count > 1").select(F.col("fingerprint").alias("f"))
-    likely = windows.join(shared, windows["fingerprint"] == shared["f"], "left_semi")
-    firsts = likely.groupBy("fingerprint", "content").agg(F.min(place).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = firsts.select(F.col("fingerprint").alias("f"), F.col("content").alias("c"), "low")
-    later = windows.join(firsts, (windows["fingerprint"] == firsts["f"]) & (windows["content"] == firsts["c"])).where(place > F.col("low"))
+    same = ["fingerprint", "back", "content", "content2"]
+    firsts = windows.groupBy(*same).agg(F.min(place).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = windows.join(firsts, same).where(place > F.col("low"))
     marks = later.groupBy("id", "print").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("m"))
     starts = F.filter("m", lambda x, i: (i == 0) | (F.get(F.col("m"), i - 1) < x - 1))
     ends = F.filter("m", lambda x, i: F.coalesce(F.get(F.col("m"), i + 1) > x + 1, F.lit(True)))
