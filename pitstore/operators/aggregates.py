@@ -109,6 +109,11 @@ def quarantine_counts(rows: DataFrame) -> DataFrame:
     return rows.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def latest_rejections(rows: DataFrame, n: int = 10) -> DataFrame:
+    """The n latest rejected rows; a missing time counts as 0."""
+    return rows.orderBy(F.desc(F.coalesce("at", F.lit(0))), "payload").limit(n)
+
+
 def raw_totals(blobs: DataFrame) -> DataFrame:
     return blobs.agg(F.count(F.lit(1)).alias("blobs"), F.sum("length").alias("bytes"))
 

@@ -381,16 +381,14 @@ def parse_bool(spark, sf_dir):
 # --- declarative rows ---------------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, upper(event_type) AS scope FROM events WHERE lower(event_type) IN ('click', 'error')""")
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, 'X' || upper(event_type) AS scope, epoch_us(ts) // 1000000 * 1000 AS effective_at, 'observed' AS availability FROM events WHERE lower(event_type) IN ('click', 'error') AND ts >= TIMESTAMP '2024-01-10'""")
 def declarative_where(spark, sf_dir):
-    """Filter, scope and field of a mapped row."""
+    """Filter, mapped scope, time, field and floor, all from the collector's block."""
     e = _t(spark, sf_dir, "events")
-    row = F.create_map(F.lit("event"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"), F.lit("ts"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
-    c = declarative.load_collector("mkt.test.events", {"kind": "http_json", "where": {"event": [" Click", "ERROR"]}, "scope": {"from": "event"}, "effective_at": {"from": "ts"}, "fields": {"k": {"from": "k", "parse": "human_number"}}})
-    rows = e.select("event_id", row.alias("row")).where(declarative.where(c.where, F.col("row")))
-    mapped = declarative.candidates(rows, c, F.lit(T_AT))
-    check = rows.select("event_id", F.try_element_at("row", F.lit("k")).cast("int").alias("k"), F.upper(F.try_element_at("row", F.lit("event"))).alias("scope"))
-    return check if mapped.schema["fields"].dataType.simpleString() == "string" else mapped
+    row = F.create_map(F.lit("event"), F.concat(F.lit(" "), F.col("event_type"), F.lit(" ")), F.lit("k"), F.get_json_object("props", "$.k"), F.lit("ts"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+    c = declarative.load_collector("mkt.test.events", {"kind": "http_json", "where": {"event": [" Click", "ERROR"]}, "scope": {"from": "event", "map": {"click": "xclick", "error": "xerror"}}, "effective_at": {"from": "ts"}, "since": "2024-01-10", "fields": {"k": {"parse": "human_number"}}})
+    mapped = declarative.candidates(e.select("event_id", row.alias("row")), c, F.lit(T_AT), keep=("event_id",))
+    return mapped.select("event_id", F.get_json_object("fields", "$.k").alias("k"), "scope", "effective_at", "availability")
 
 
 @query("""SELECT event_id, ordinal::INTEGER AS ordinal, (event_id * 10 + ordinal)::VARCHAR AS a FROM events, (SELECT unnest(range(0, 3)) AS ordinal) WHERE ordinal <> 1""")
@@ -467,14 +465,15 @@ def verify_derived(spark, sf_dir):
 
 
 @query(
-    f"WITH {FACTS}, m AS (SELECT strftime(make_timestamp(known_at * 1000), '%Y-%m-%d') AS w, count(*) AS n FROM facts GROUP BY 1), t AS (SELECT strftime(make_timestamp(known_at * 1000), '%Y-%m-%d') AS w, count(*) AS n FROM facts WHERE seq <> 77 GROUP BY 1) "
+    f"WITH {FACTS}, m AS (SELECT strftime(make_timestamp(known_at * 1000), '%Y-%m-%d') AS w, string_agg(value::VARCHAR, ',' ORDER BY seq) AS n FROM facts GROUP BY 1), t AS (SELECT strftime(make_timestamp(known_at * 1000), '%Y-%m-%d') AS w, string_agg((CASE WHEN seq = 77 THEN value + 1 ELSE value END)::VARCHAR, ',' ORDER BY seq) AS n FROM facts GROUP BY 1) "
     "SELECT coalesce(m.w, t.w) AS \"window\", 'content differs' AS problem FROM m FULL JOIN t ON m.w = t.w WHERE m.n IS DISTINCT FROM t.n"
 )
 def verify_windows(spark, sf_dir):
     """Windows whose content does not hash to what the manifest has."""
-    f = facts(spark, sf_dir).withColumn("id", F.sha2(F.concat_ws("|", "scope", "key", "seq"), 256)).withColumn("window", canon.utc_day(F.col("known_at")))
-    manifest = snapshot.window_hashes(f)
-    return snapshot.compare(manifest, snapshot.window_hashes(f.where("seq <> 77")))
+    f = facts(spark, sf_dir).withColumn("id", F.lit("")).withColumn("window", canon.utc_day(F.col("known_at")))
+    now = f.withColumn("value", F.when(F.col("seq") == 77, F.col("value") + 1).otherwise(F.col("value")).cast("decimal(19,8)"))
+    was, now = (x.withColumn("id", F.sha2(F.concat_ws("|", "scope", "key", "seq", F.col("value").cast("string")), 256)) for x in (f, now))
+    return snapshot.compare(snapshot.window_hashes(was), snapshot.window_hashes(now))
 
 
 # --- aggregates ---------------------------------------------------------------------------------------------
@@ -724,15 +723,15 @@ def near_events(spark, sf_dir):
 # --- formats ------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, event_id::VARCHAR AS id, (event_id % 5)::INTEGER AS quad, (event_id % 9)::INTEGER AS articles, event_id % 10 = 3 AS bad FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 10 <> 3 THEN event_id::VARCHAR END AS id, CASE WHEN event_id % 10 NOT IN (3, 6) THEN (event_id % 5)::INTEGER END AS quad, CASE WHEN event_id % 10 <> 3 THEN (event_id % 9)::INTEGER END AS articles, CASE WHEN event_id % 10 <> 3 THEN -2.25::DOUBLE END AS tone, CASE WHEN event_id % 10 <> 3 THEN 'US' END AS country, event_id % 10 IN (3, 6) AS bad FROM events""")
 def news_export_rows(spark, sf_dir):
-    """Exactly 61 tab-separated columns, bad lines marked."""
+    """Exactly 61 tab-separated columns; a line of others is null throughout, a cell that is no number is null."""
     i = F.col("event_id")
-    cells = {0: i.cast("string"), 26: F.lit("010"), 27: F.lit("010"), 28: F.lit("01"), 29: (i % 5).cast("string"), 30: F.lit("1.5"), 33: (i % 9).cast("string"), 34: F.lit("-2.25"), 53: F.lit("US")}
+    cells = {0: i.cast("string"), 26: F.lit("010"), 27: F.lit("010"), 28: F.lit("01"), 29: F.when(i % 10 == 6, "four").otherwise((i % 5).cast("string")), 30: F.lit("1.5"), 33: (i % 9).cast("string"), 34: F.lit("-2.25"), 53: F.lit("US")}
     line = F.concat_ws("\t", *[cells.get(k, F.lit("x")) for k in range(61)])
     rows = _t(spark, sf_dir, "events").select("event_id", F.when(i % 10 == 3, F.concat(line, F.lit("\tmore"))).otherwise(line).alias("value"))
     out = formats.news_events(rows)
-    return out.select("event_id", F.coalesce("id", F.col("event_id").cast("string")).alias("id"), F.coalesce("quad", (i % 5).cast("int")).alias("quad"), F.coalesce("articles", (i % 9).cast("int")).alias("articles"), "bad")
+    return out.select("event_id", "id", "quad", "articles", F.col("tone").cast("double").alias("tone"), "country", "bad")
 
 
 # --- folds (no SQL) -----------------------------------------------------------------------------------------

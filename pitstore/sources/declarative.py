@@ -124,7 +124,7 @@ def _scope(spec: dict, row: Column) -> Column:
     if "const" in spec:
         out = F.lit(str(spec["const"]))
     elif "from" in spec:
-        raw = F.try_element_at(row, F.lit(spec["from"]))
+        raw = F.trim(F.try_element_at(row, F.lit(spec["from"])))
         pairs = [F.lit(str(x)) for kv in spec.get("map", {}).items() for x in kv]
         out = F.coalesce(F.try_element_at(F.create_map(*pairs), raw), raw) if pairs else raw
     else:
@@ -144,11 +144,11 @@ def _time(spec: dict | None, row: Column) -> parse.Parsed:
     return parse.Parsed(out.value.cast("long"), out.error)
 
 
-def _field(spec: dict, row: Column) -> parse.Parsed:
+def _field(spec: dict, row: Column, name: str) -> parse.Parsed:
     nothing = F.lit(None).cast("string")
     if "const" in spec:
         return parse.Parsed(F.lit(spec["const"]), nothing)
-    raw = parse.null_if(F.try_element_at(row, F.lit(spec["from"])), spec.get("null_if", []), spec.get("null_if_prefix", []))
+    raw = parse.null_if(F.try_element_at(row, F.lit(spec.get("from", name))), spec.get("null_if", []), spec.get("null_if_prefix", []))
     if "parse" not in spec:
         return parse.Parsed(raw, nothing)
     options = {k: spec[k] for k in ("zone", "hour") if k in spec}
@@ -158,10 +158,11 @@ def _field(spec: dict, row: Column) -> parse.Parsed:
     return parse.Parsed(out.value, F.when(raw.isNotNull(), out.error))
 
 
-def candidates(rows: DataFrame, c: Collector, known_at: Column) -> DataFrame:
+def candidates(rows: DataFrame, c: Collector, known_at: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Mapped rows with a typed payload struct `payload`; a value that cannot be read marks its own row only.
 
-    Rows without scope or effective time are left out, as are those before the collector's floor.
+    Rows without scope or effective time are left out, as are those before the collector's floor. A field is
+    read from the cell of its own name unless `from` names another. keep: columns of rows that come along.
     """
     from ..functions.canon import decimal_column
 
@@ -169,13 +170,14 @@ def candidates(rows: DataFrame, c: Collector, known_at: Column) -> DataFrame:
     kept = rows.where(where(c.where, row))
     at = _time(c.times.get("effective_at"), row)
     start, end = _time(c.times.get("period_start"), row), _time(c.times.get("period_end"), row)
-    parsed = {n: _field(s, row) for n, s in c.fields.items()}
+    parsed = {n: _field(s, row, n) for n, s in c.fields.items()}
     errors = F.coalesce(at.error, start.error, end.error, *[p.error for p in parsed.values()], F.lit(None).cast("string"))
     values = []
     for n, p in parsed.items():
         kind = c.fields[n].get("parse", "")
         values.append((decimal_column(p.value) if kind in ("human_number", "percent_or_number") else p.value).alias(n))
     out = kept.select(
+        *keep,
         _scope(c.scope, row).alias("scope"),
         at.value.alias("effective_at"),
         known_at.cast("long").alias("known_at"),
