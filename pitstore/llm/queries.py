@@ -93,8 +93,8 @@ FROM docs d JOIN fitted f ON d.source = f.source AND d.lang = f.lang AND d.topic
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 50 words or 3 lines that stand earlier go, as in the SQL; one row per document."""
-    return dedup_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=50, report=True, extend=False).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
+    """Maximal runs of 50 words or 3 lines that stand earlier go; one row per document."""
+    return dedup_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=50, report=True).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
 
 
 OP4_SQL = r"""
@@ -103,13 +103,17 @@ WITH lines AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)
 ), full_lines AS (
   SELECT *, lead(words, 1) OVER w AS words2, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3,
-         lead(pos, 1) OVER w AS pos2, lead(pos, 2) OVER w AS pos3
+         lead(words, 2) OVER w AS words3, lead(pos, 1) OVER w AS pos2, lead(pos, 2) OVER w AS pos3
   FROM lines WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), windows AS (
+  -- the fewest lines from a first one on
   SELECT doc_id, pos,
          CASE WHEN words >= 50 THEN [line] WHEN words + words2 >= 50 THEN [line, line2] WHEN line3 IS NOT NULL THEN [line, line2, line3] END AS content,
          CASE WHEN words >= 50 THEN [pos] WHEN words + words2 >= 50 THEN [pos, pos2] WHEN line3 IS NOT NULL THEN [pos, pos2, pos3] END AS covers
   FROM full_lines
+  -- the fewest lines up to a last one, where they are not the fewest from their first
+  UNION ALL SELECT doc_id, pos, [line, line2], [pos, pos2] FROM full_lines WHERE words >= 50 AND words2 < 50
+  UNION ALL SELECT doc_id, pos, [line, line2, line3], [pos, pos2, pos3] FROM full_lines WHERE words + words2 >= 50 AND words2 + words3 < 50
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS nth FROM windows WHERE content IS NOT NULL
 ), gone AS (
