@@ -53,6 +53,8 @@ def topic_of(text: Column) -> Column:
 
 #: Target token shares of the languages in op3_mixing; sources and topics aim at their own shares to the power 0.9.
 LANGUAGES = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+#: The part of the tokens that the mixed sample shall have.
+MIX_BUDGET = 0.7
 
 
 def mixed(docs: DataFrame, budget: float | None = None, targets: dict[str, dict] | None = None) -> DataFrame:
@@ -61,20 +63,44 @@ def mixed(docs: DataFrame, budget: float | None = None, targets: dict[str, dict]
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's token weight and sampling probability: languages raked to LANGUAGES."""
-    out = mixed(table(spark, sf_dir, "documents"), targets={"lang": LANGUAGES})
+    """Every document's token weight and sampling probability: languages raked to LANGUAGES, MIX_BUDGET of the tokens."""
+    out = mixed(table(spark, sf_dir, "documents"), MIX_BUDGET, targets={"lang": LANGUAGES})
     return out.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
 def _op3_sql() -> str:
+    """Raking as 30 steps; then the same with full cells, which the least tokens for their weight make first.
+
+    In that order a cell is full if what the cells before it leave, shared among it and those after it, is more
+    than its tokens; the factor of the others is the largest that this gives to one which is not full.
+    """
+    names = ("source", "lang", "topic")
     steps, last = [], "start"
     for k in range(30):
-        d = ("source", "lang", "topic")[k % 3]
+        d = names[k % 3]
         steps.append(f"s{k} AS MATERIALIZED (SELECT source, lang, topic, tokens, g_source, g_lang, g_topic, w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM {last})")
         last = f"s{k}"
-    goal = ", ".join(f"g_{d}" for d in ("source", "lang", "topic"))
+    fitted = last
+    budget = f"{MIX_BUDGET} * (SELECT sum(tokens) FROM cells)"
+    for d in names:
+        before = "ORDER BY supply / g, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        after = "ORDER BY supply / g, v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+        steps += [
+            f"v_{d} AS (SELECT {d} AS v, any_value(g_{d}) AS g, sum(CASE WHEN w > 0 THEN tokens ELSE 0 END) AS supply FROM {fitted} GROUP BY {d})",
+            f"m_{d} AS (SELECT *, greatest({budget} - coalesce(sum(supply) OVER ({before}), 0), 0) / sum(g) OVER ({after}) AS m FROM v_{d} WHERE g > 0)",
+            f"p_{d} AS MATERIALIZED (SELECT v, least(supply, coalesce(g * (SELECT max(m) FROM m_{d} WHERE m * g <= supply), supply)) AS p FROM v_{d})",
+        ]
+    steps.append(f"c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, w, w AS u FROM {fitted})")
+    for k in range(30):
+        d = names[k % 3]
+        before = f"PARTITION BY {d} ORDER BY tokens / nullif(u, 0) NULLS LAST, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        after = f"PARTITION BY {d} ORDER BY tokens / nullif(u, 0) NULLS LAST, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+        steps += [
+            f"f{k} AS (SELECT c.*, greatest(p - coalesce(sum(tokens) OVER ({before}), 0), 0) / nullif(sum(u) OVER ({after}), 0) AS f FROM c{k} c JOIN p_{d} ON {d} = v)",
+            f"c{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, w, coalesce(u * max(CASE WHEN u * f <= tokens * (1 + 1e-12) THEN f END) OVER (PARTITION BY {d}), tokens) AS u FROM f{k})",
+        ]
     stated = "CASE WHEN sum(tokens) > 0 THEN CASE lang " + " ".join(f"WHEN '{v}' THEN {x}" for v, x in LANGUAGES.items()) + " ELSE 0.0 END ELSE 0.0 END::DOUBLE"
-    aims = {d: stated if d == "lang" else "pow(sum(tokens) / (SELECT sum(tokens) FROM cells), 0.9)" for d in ("source", "lang", "topic")}
+    aims = {d: stated if d == "lang" else "pow(sum(tokens) / (SELECT sum(tokens) FROM cells), 0.9)" for d in names}
     powers = ", ".join(f"(SELECT {d}, {aim} AS g_{d} FROM cells GROUP BY {d}) AS {d}s" for d, aim in aims.items())
     joins = " AND ".join(f"c.{d} = {d}s.{d}" for d in aims)
     scaled = ", ".join(f"{d}s.g_{d} / (SELECT sum(g) FROM (SELECT {aim} AS g FROM cells GROUP BY {d})) * (SELECT sum(tokens) FROM cells) AS g_{d}" for d, aim in aims.items())
@@ -85,9 +111,9 @@ WITH words AS (
   SELECT doc_id, source, lang, tokens, CASE WHEN contains(text, ' | ') THEN 'table' WHEN tokens >= 400 THEN 'long' WHEN tokens >= 100 THEN 'medium' ELSE 'short' END AS topic FROM words
 ), cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL
 ), start AS (SELECT c.source, c.lang, c.topic, c.tokens, {scaled}, c.tokens AS w FROM cells c, {powers} WHERE {joins}
-), {", ".join(steps)}, fitted AS (SELECT source, lang, topic, w / tokens AS weight FROM {last})
-SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens::BIGINT AS tokens, round(weight, 6) AS weight, round(weight / (SELECT max(weight) FROM fitted), 6) AS probability,
-       (tokens = 0 OR ('0x' || substr(md5(doc_id::VARCHAR || ':3'), 1, 8))::BIGINT / 4294967296.0 < weight / (SELECT max(weight) FROM fitted)) AS kept
+), {", ".join(steps)}, fitted AS (SELECT source, lang, topic, w / tokens AS weight, least(u, tokens) / tokens AS probability FROM c30)
+SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens::BIGINT AS tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+       (tokens = 0 OR ('0x' || substr(md5(doc_id::VARCHAR || ':3'), 1, 8))::BIGINT / 4294967296.0 < probability) AS kept
 FROM docs d JOIN fitted f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic
 """
 
