@@ -1,4 +1,4 @@
-"""Command line: ls, validate, backfill, compile, verify, as-of, health, state.
+"""Command line: ls, validate, collect, backfill, compile, verify, as-of, health, state.
 
 Exit codes: 0 done, 2 bad input or file, 3 the engine refuses, a store does not verify or is stale.
 """
@@ -13,9 +13,10 @@ import time
 
 from pyspark.sql import functions as F
 
+from . import collect
 from .functions.canon import utc_month
 from .model import ConfigError, PitError
-from .operators import aggregates, asof, revise, snapshot
+from .operators import aggregates, asof, snapshot
 from .runtime import session
 from .sources import formats, journal
 from .sources.schema import Registry
@@ -51,18 +52,23 @@ def validate(args, spark):
 
 def backfill(args, spark):
     s = Registry.load(args.datasets).schema(args.dataset)
-    path = os.path.join(args.root, "journal")
-    have = journal.read(spark, path).drop("day") if os.path.isdir(path) else None
     with journal.writer_lock(args.root):
         rows = formats.backfill_ndjson(spark, args.file).withColumn("arrival", F.monotonically_increasing_id())
-        done = revise.ingest(rows, s, int(time.time() * 1000), journal=have).persist()
-        counts = aggregates.outcomes(done).first().asDict()
-        new = done.where("outcome = 'written'").select(F.lit(s.name).alias("dataset"), "scope", "key", "revision", "known_at", "effective_at", "availability", F.lit("backfill").alias("source"), "fields", "period_start", "period_end", F.lit("").alias("source_version"), F.lit("backfill@1").alias("parser"), F.lit(None).cast("string").alias("raw_ref"), "arrival")
-        journal.append(journal.numbered(new, have), path)
+        counts = collect.into_store(rows, s, args.root, "backfill", "backfill@1")
     print(" ".join(f"{k}={v}" for k, v in counts.items()))
     return 0
 
 
+def collect_(args, spark):
+    r = Registry.load(args.datasets)
+    names = [args.dataset] if args.dataset else r.collecting()
+    with journal.writer_lock(args.root):
+        for name in names:
+            out = collect.collect_once(spark, args.root, r.schema(name), timeout=args.timeout)
+            print(f"{name}\twritten={out['written']}\t{out['error'] or 'ok'}")
+    return 0
+
+
 def compile_(args, spark):
     rows = _journal(spark, args.root).drop("day")
     old = journal.load_manifest(args.root)
@@ -120,6 +126,10 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="verb", required=True)
     for name, f in (("ls", ls), ("validate", validate), ("compile", compile_), ("verify", verify), ("state", state)):
         sub.add_parser(name).set_defaults(run=f)
+    c = sub.add_parser("collect")
+    c.add_argument("dataset", nargs="?")
+    c.add_argument("--timeout", type=float, default=30.0)
+    c.set_defaults(run=collect_)
     b = sub.add_parser("backfill")
     b.add_argument("dataset")
     b.add_argument("file")

@@ -186,12 +186,15 @@ def ingest(candidates: DataFrame, schema: DatasetSchema, now_ms: int, live: bool
     Grouped by scope where the key holds the scope, else by the dataset as a whole, as keys then cross scopes.
     Arrival ties are settled by (known_at, effective_at, key). A group is folded in memory: history-bearing
     datasets are small by nature; the ones that are not have no lookback and take assign_revisions().
+    Of the journal a fold meets one row a key, its latest revision, and only the groups that have candidates.
     """
     by_scope = "scope" in schema.key
     group = F.col("scope") if by_scope else F.lit(schema.name)
     rows = candidates.withColumn("g", group).withColumn("stored", F.lit(False)).withColumn("key", F.lit("")).withColumn("revision", F.lit(0))
     if journal is not None:
-        kept = journal.where(F.col("dataset") == schema.name).withColumn("g", group).withColumn("arrival", F.col("seq"))
+        top = F.max_by(F.struct("seq", "revision", "known_at", "effective_at", "period_start", "period_end", "availability", "fields"), "revision").alias("s")
+        kept = journal.where(F.col("dataset") == schema.name).withColumn("g", group).join(rows.select("g").distinct(), "g", "left_semi")
+        kept = kept.groupBy("g", "scope", "key").agg(top).select("g", "scope", "key", "s.*").withColumnRenamed("seq", "arrival")
         kept = kept.withColumn("stored", F.lit(True)).withColumn("title", F.lit(None).cast("string")).withColumn("parse_error", F.lit(None).cast("string"))
         rows = rows.unionByName(kept.select(*rows.columns))
 

@@ -8,12 +8,12 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canon import NULL_I64, canonical_json, decimal_text, month_bounds, utc_month
 from ..model import AVAILABILITY, CANONICAL_ORDER, StoreError
-from ..runtime import stored
+from ..runtime import placed
 from ..sources.schema import DatasetSchema, parse_schema
 
 # Fixed values of the binary form.
@@ -56,16 +56,10 @@ def compare(manifest: DataFrame, actual: DataFrame, by: str = "window") -> DataF
 def with_index(rows: DataFrame, column: str) -> DataFrame:
     """Adds <column>_idx, the place of the value among the sorted distinct ones.
 
-    Distinct values are dealt out by range, counted per partition and numbered inside each: no task holds all.
+    Distinct values are numbered by range: no task holds all.
     """
-    values = rows.select(F.col(column).alias("_v")).where("_v is not null").distinct()
-    ranged = stored(values.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "index")
-    sizes = ranged.groupBy(F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_q", before.alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy("_v"))
-    placed = ranged.join(F.broadcast(starts), F.col("_p") == F.col("_q")).select("_v", (F.col("_start") + inside - 1).cast("int").alias("_i"))
-    return rows.join(placed, F.col(column) == F.col("_v")).drop("_v").withColumnRenamed("_i", f"{column}_idx")
+    values = placed(rows.select(F.col(column).alias("_v")).where("_v is not null").distinct(), "_v", "_i")
+    return rows.join(values.select("_v", F.col("_i").cast("int").alias("_i")), F.col(column) == F.col("_v")).drop("_v").withColumnRenamed("_i", f"{column}_idx")
 
 
 def raw_refs(journal: DataFrame) -> DataFrame:

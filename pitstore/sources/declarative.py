@@ -21,6 +21,7 @@ SCOPE_KEYS = ("from", "map", "const", "upper")
 TIME_KEYS = ("from", "parse", "zone", "hour", "const")
 FIELD_KEYS = ("from", "parse", "map", "null_if", "null_if_prefix", "const", "zone", "hour")
 KINDS = ("http_json", "http_csv")
+KNOWN = ("ingest_time", "effective_at")
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
@@ -60,6 +61,9 @@ class Collector:
     cadence: Cadence = Cadence()
     max_age_ms: int | None = None
     since_ms: int = MIN_MS
+    url: str = ""
+    headers: dict = field(default_factory=dict)
+    known: str = "ingest_time"
 
     @property
     def parser(self) -> str:
@@ -87,7 +91,10 @@ def load_collector(dataset: str, raw: Any) -> Collector:
 
         since = int(dt.datetime.fromisoformat(str(raw["since"])).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
     age = raw.get("max_observed_age")
-    return Collector(dataset, raw["kind"], path, raw.get("where", {}), scope, times, fields, raw.get("availability", "observed"), cadence, None if age is None else int(duration_seconds(age) * 1000), since)
+    if (known := raw.get("known_at", "ingest_time")) not in KNOWN:
+        raise ConfigError(f"{dataset}: known_at must be one of {', '.join(KNOWN)}")
+    headers = {str(k): str(v) for k, v in (raw.get("headers") or {}).items()}
+    return Collector(dataset, raw["kind"], path, raw.get("where", {}), scope, times, fields, raw.get("availability", "observed"), cadence, None if age is None else int(duration_seconds(age) * 1000), since, str(raw.get("url", "")), headers, known)
 
 
 # --- rows -------------------------------------------------------------------------------------------------

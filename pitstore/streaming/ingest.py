@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..collect import into_store
 from ..operators.aggregates import HOUR, hour_end
-from ..operators.revise import ingest
 from ..sources import journal
 from ..sources.schema import DatasetSchema
 
@@ -44,25 +44,9 @@ def into_journal(candidates: DataFrame, schema: DatasetSchema, root: str, checkp
     The state is the journal itself, so a restart needs nothing but the checkpoint. A batch that is replayed
     after a crash meets its own rows as duplicates and adds none: seq and revisions stay as they were.
     """
-    path = os.path.join(root, "journal")
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            have = journal.read(spark, path).drop("day")
-        except Exception as e:  # an empty store has no schema yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            have = None
-        now = int(time.time() * 1000)
-        done = ingest(batch.withColumn("arrival", F.monotonically_increasing_id()), schema, now, live, max_age_ms, have).persist()
-        rows = done.where("outcome = 'written'").select(
-            F.lit(schema.name).alias("dataset"), "scope", "key", "revision", "known_at", "effective_at", "availability", F.lit(source).alias("source"), "fields", "period_start", "period_end", F.lit("").alias("source_version"), F.lit(parser).alias("parser"), F.lit(None).cast("string").alias("raw_ref"), "arrival"
-        )
-        journal.append(journal.numbered(rows, have), path)
-        bad = done.where("outcome = 'quarantined'").select(F.lit(schema.name).alias("dataset"), "reason", F.col("fields").alias("payload"))
-        journal.quarantine(bad, os.path.join(root, "quarantine"))
-        done.unpersist()
+        into_store(batch.withColumn("arrival", F.monotonically_increasing_id()), schema, root, source, parser, live, max_age_ms)
 
     writer = candidates.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

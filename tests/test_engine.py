@@ -1,10 +1,13 @@
+import hashlib
+import io
 import json
 import random
+import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
 
-from pitstore import cli
+from pitstore import cli, collect, runtime
 from pitstore.model import ConfigError, SchemaError, StoreError
 from pitstore.operators import aggregates, asof, calendars, revise, snapshot, validate
 from pitstore.sources import declarative, formats, journal, schema
@@ -275,6 +278,90 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.instant("2026-01-01T00:00:00Z") == 1767225600000
 
 
+COLLECTED = """
+dataset: rates.us.web
+version: 1
+title: A rate
+scope_kind: currency
+key: [effective_at, scope]
+fields:
+  value: { type: number, null_policy: allow }
+collector:
+  kind: http_KIND
+  url: http://host/rates
+  scope: { const: USD }
+  effective_at: { from: day, parse: iso8601_with_offset }
+  fields:
+    value: { parse: human_number }
+"""
+
+
+class Server:
+    """Answers in turn; each answer is (status, content type, body), and a tag that it answers 304 to."""
+
+    def __init__(self, *answers):
+        self.answers, self.asked = list(answers), []
+
+    def __call__(self, request, timeout):
+        self.asked.append(dict(request.header_items()))
+        status, kind, body = self.answers.pop(0)
+        tag = hashlib.md5(body).hexdigest()
+        if status != 200 or self.asked[-1].get("If-none-match") == tag:
+            raise urllib.error.HTTPError(request.full_url, status if status != 200 else 304, "", {}, None)
+        answer = io.BytesIO(body)
+        answer.headers = {"Content-Type": kind, "ETag": tag}
+        return answer
+
+
+@pytest.mark.parametrize("kind", ["json", "csv"])
+def test_collect(spark, tmp_path, kind):
+    s, root = schema.parse_schema(COLLECTED.replace("KIND", kind)), str(tmp_path / "s")
+
+    def body(*values):
+        days = [f"2026-01-0{k + 1}T00:00:00Z" for k in range(len(values))]
+        if kind == "json":
+            return json.dumps([{"day": d, "value": v} for d, v in zip(days, values)]).encode()
+        return "\n".join(["day,value", *map(",".join, zip(days, values))]).encode()
+
+    mime = {"json": "application/json", "csv": "text/csv"}[kind]
+    server = Server((200, mime, body("1", "x", "3")), (200, mime, body("1", "x", "3")), (503, mime, b"down"), (200, "text/html", b"<p>"), (200, mime, b""), (200, mime, body("1", "2", "4")))
+    got = [collect.collect_once(spark, root, s, server) for _ in range(6)]
+    assert [(r["ok"], r["written"]) for r in got] == [(True, 2), (True, 0), (False, 0), (False, 0), (False, 0), (True, 2)]
+    assert [r["error"] for r in got[1:4]] == ["unchanged", "status 503", "content type 'text/html', not " + kind]
+    assert got[0]["quarantined"] == 1 and got[5]["revisions"] == 1 and got[5]["duplicates"] == 1
+    assert "If-none-match" not in server.asked[0] and "If-none-match" in server.asked[5]
+    rows_ = journal.read(spark, root + "/journal").orderBy("seq").collect()
+    assert [(r.seq, r.revision, json.loads(r.fields)["value"]) for r in rows_] == [(1, 1, "1"), (2, 1, "3"), (3, 1, "2"), (4, 2, "4")]
+    assert {r.raw_ref for r in rows_} == {hashlib.sha256(body("1", "x", "3")).hexdigest(), hashlib.sha256(body("1", "2", "4")).hexdigest()}
+    assert journal.read_json(f"{root}/status/rates.us.web.json")["written"] == 2
+    with pytest.raises(ConfigError):
+        collect.collect_once(spark, root, schema.parse_schema(RATES), server)
+
+
+def test_places_over_many_ranges(spark):
+    df = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("x"), (F.col("id") % 3).cast("string").alias("g"))
+    got = runtime.placed(df.repartition(7), "x", "at", ["g"]).collect()
+    for g in "012":
+        xs = sorted((r.x, r["at"]) for r in got if r.g == g)
+        assert [a for _, a in xs] == list(range(len(xs)))
+    assert runtime.placed(df.where("x < 0"), "x", "at").count() == 0
+
+
+def test_fold_meets_the_latest_revisions_only(spark):
+    """A key revised before and a scope without candidates: as a fold over everything."""
+    s, r = schema.parse_schema(RATES), random.Random(4)
+    first = candidates(spark, [(k % 6, str(r.randint(0, 3))) for k in range(40)])
+    then = candidates(spark, [(k % 8, str(r.randint(0, 3))) for k in range(24)])
+    columns = ["scope", "key", "revision", "known_at", "effective_at", "availability", "fields", "period_start", "period_end"]
+    done = revise.ingest(first, s, 1 << 60).where("outcome = 'written'").select(*columns, F.lit(s.name).alias("dataset"), F.lit("t").alias("source"), F.lit("").alias("source_version"), F.lit("p").alias("parser"), F.lit(None).cast("string").alias("raw_ref"), "arrival")
+    have = journal.numbered(done, None)
+    other = have.withColumn("scope", F.lit("EUR"))
+    got = revise.ingest(then, s, 1 << 60, journal=have.unionByName(other)).collect()
+    both = revise.ingest(first.unionByName(then.withColumn("arrival", F.col("arrival") + 1000)), s, 1 << 60).where("arrival >= 1000").collect()
+    key = lambda x: x.arrival % 1000
+    assert [(x.outcome, x.revision, x.fields) for x in sorted(got, key=key)] == [(x.outcome, x.revision, x.fields) for x in sorted(both, key=key)]
+
+
 def test_near_reads(spark):
     facts = spark.createDataFrame([("e", T0 + 1000, 1, 1.5)], "u string, known_at long, seq long, value double")
     probes = spark.createDataFrame([("e", T0 + 1000, 1), ("e", T0 + 1999, 2), ("f", T0, 3)], "u string, at long, p long")
