@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import time
 import urllib.request
+from pathlib import Path
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,7 @@ def document_candidates(spark: SparkSession, path: str, c: declarative.Collector
 def collect_once(spark: SparkSession, root: str, schema: DatasetSchema, opener: Callable = urllib.request.urlopen, timeout: float = 30.0) -> dict:
     """Fetches one dataset's document and stores what is new. The caller holds the writer's lock.
 
+    root lies on a file system that the executors mount too, as documents are read from where they landed.
     Returns and records in status/<dataset>.json: ok, error, and the counts. A server that fails or has nothing
     new leaves the store as it is; an unchanged document is a success with no rows.
     """
@@ -67,7 +69,7 @@ def collect_once(spark: SparkSession, root: str, schema: DatasetSchema, opener:
     found = web.fetch(root, schema.name, c.url, web.CONTENT[c.kind], c.headers, opener, timeout)
     out = {"at": now, "ok": found.problem in (None, "unchanged"), "error": found.problem, "written": 0}
     if found.problem is None:
-        rows = document_candidates(spark, found.path, c, now)
+        rows = document_candidates(spark, Path(found.path).absolute().as_uri(), c, now)
         out |= into_store(rows, schema, root, f"http/{schema.name}", c.parser, live=True, max_age_ms=c.max_age_ms, version=c.url, raw_ref=found.sha256)
         out |= {"raw_ref": found.sha256, "bytes": found.size}
         web.remember(root, schema.name)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import json
+import urllib.error
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import collect
 from ..functions import canon, expr, parse
 from ..model import ConfigError, PitError
 from ..operators import aggregates, calendars, snapshot, validate
@@ -220,3 +224,72 @@ def null_rules(spark, sf_dir):
     k, i = F.col("event_id") % 4, F.col("event_id").cast("string")
     raw = F.when(k == 0, " none ").when(k == 1, F.concat(F.lit("~"), i)).when(k == 2, "n/x").otherwise(F.concat(F.lit("v"), i))
     return _t(spark, sf_dir, "events").select("event_id", parse.null_if(raw, ["none"], ["~"]).alias("value"))
+
+
+# --- documents over HTTP --------------------------------------------------------------------------------------
+
+_COLLECTED = """
+dataset: rates.nations
+version: 1
+title: A figure by nation
+scope_kind: region
+key: [effective_at, scope]
+fields:
+  value: { type: number, null_policy: forbid }
+quality:
+  range: { value: [0, 20] }
+collector:
+  kind: http_json
+  url: http://host/nations
+  record_path: $.rows[*]
+  known_at: effective_at
+  scope: { from: nation }
+  effective_at: { from: day, parse: iso8601_with_offset }
+  fields:
+    value: { parse: human_number }
+"""
+
+
+def _answers(bodies: list[bytes]):
+    """An opener that serves these documents in turn under their own tags, and 304 to a tag that still holds."""
+    left = list(bodies)
+
+    def opener(request, timeout):
+        body = left.pop(0)
+        tag = str(hash(body))
+        if request.get_header("If-none-match") == tag:
+            raise urllib.error.HTTPError(request.full_url, 304, "not modified", {}, None)
+        answer = io.BytesIO(body)
+        answer.headers = {"Content-Type": "application/json; charset=utf-8", "ETag": tag}
+        return answer
+
+    return opener
+
+
+@query(
+    """SELECT scope, row_number() OVER (ORDER BY poll, n_nationkey) AS seq, revision, effective_at, value FROM (
+SELECT 1 AS poll, n_nationkey, upper(n_name) AS scope, 1 AS revision, epoch_us(TIMESTAMP '2024-01-01' + n_nationkey % 3 * INTERVAL 1 DAY) // 1000 AS effective_at, n_nationkey::VARCHAR AS value FROM nation WHERE n_nationkey <= 20
+UNION ALL SELECT 2, n_nationkey, upper(n_name), 2, epoch_us(TIMESTAMP '2024-01-01' + n_nationkey % 3 * INTERVAL 1 DAY) // 1000, (n_nationkey + 0.5)::DECIMAL(9,1)::VARCHAR FROM nation WHERE n_nationkey < 20 AND n_nationkey % 5 = 0)"""
+)
+def collected_documents(spark, sf_dir):
+    """A document (the 25 nations) collected three times: new, unchanged, and with every fifth figure revised.
+
+    Figures out of range are set aside; what comes again is a duplicate.
+    """
+    root = _place(spark, "collected")
+    if not root.startswith(("file:", "/")):
+        raise ConfigError(f"{root}: documents land on a mounted file system")
+    root = "/" + root.removeprefix("file:").lstrip("/")
+    rows = sorted((r["n_nationkey"], r["n_name"]) for r in _t(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect())
+
+    def body(half: bool) -> bytes:
+        figures = [f"{n}.5" if half and n % 5 == 0 else str(n) for n, _ in rows]
+        days = [f"2024-01-0{n % 3 + 1}T00:00:00Z" for n, _ in rows]
+        return json.dumps({"rows": [{"nation": name.lower(), "day": d, "value": v} for (_, name), d, v in zip(rows, days, figures)]}).encode()
+
+    made = schema.parse_schema(_COLLECTED)
+    opener = _answers([body(False), body(False), body(True)])
+    for _ in range(3):
+        collect.collect_once(spark, root, made, opener)
+    out = journal.read(spark, f"{root}/journal")
+    return out.select("scope", "seq", F.col("revision").cast("int").alias("revision"), "effective_at", F.get_json_object("fields", "$.value").alias("value"))
