@@ -1,4 +1,4 @@
-"""Command line: ls, validate, collect, backfill, compile, verify, as-of, health, state.
+"""Command line: ls, validate, collect, run, backfill, compile, verify, as-of, health, state.
 
 Exit codes: 0 done, 2 bad input or file, 3 the engine refuses, a store does not verify or is stale.
 """
@@ -14,7 +14,7 @@ import time
 from pyspark.sql import functions as F
 
 from . import collect
-from .functions.canon import utc_month
+from .config import load_config
 from .model import ConfigError, PitError
 from .operators import aggregates, asof, snapshot
 from .runtime import session
@@ -64,27 +64,23 @@ def collect_(args, spark):
     names = [args.dataset] if args.dataset else r.collecting()
     with journal.writer_lock(args.root):
         for name in names:
-            out = collect.collect_once(spark, args.root, r.schema(name), timeout=args.timeout)
+            out = collect.collect_once(spark, args.root, r.schema(name), timeout=args.timeout, folder=args.datasets)
             print(f"{name}\twritten={out['written']}\t{out['error'] or 'ok'}")
     return 0
 
 
 def compile_(args, spark):
-    rows = _journal(spark, args.root).drop("day")
-    old = journal.load_manifest(args.root)
-    snapshot.write_windows(rows, os.path.join(args.root, "snapshot"))
-    hashes = snapshot.window_hashes(rows.withColumn("window", F.concat_ws("|", "dataset", utc_month(F.col("known_at")))))
-    found: dict[str, dict] = {}
-    for r in hashes.toLocalIterator():
-        dataset, month = r["window"].split("|")
-        found.setdefault(dataset, {"windows": []})["windows"].append({"from": month, "records": r["records"], "sha256": r["hash"]})
-    for r in journal.last_seq(rows).toLocalIterator():
-        found[r["dataset"]]["last_seq"] = r["last_seq"]
-    journal.save_manifest(args.root, old["datasets"] | found)
-    print(f"windows={sum(len(d['windows']) for d in found.values())}")
+    print(f"windows={collect.compile_store(spark, args.root, Registry.load(args.datasets))}")
     return 0
 
 
+def run(args, spark):
+    c = load_config(args.config, args.root)
+    failed = collect.run(spark, Registry.load(args.datasets), c, once=args.once)
+    print(" ".join(failed) or "ok")
+    return 3 if failed else 0
+
+
 def verify(args, spark):
     doc = journal.load_manifest(args.root)
     want = [(f"{d}|{w['from']}", w["sha256"]) for d, v in doc["datasets"].items() for w in v["windows"]]
@@ -130,6 +126,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("dataset", nargs="?")
     c.add_argument("--timeout", type=float, default=30.0)
     c.set_defaults(run=collect_)
+    d = sub.add_parser("run")
+    d.add_argument("--config")
+    d.add_argument("--once", action="store_true")
+    d.set_defaults(run=run)
     b = sub.add_parser("backfill")
     b.add_argument("dataset")
     b.add_argument("file")

@@ -1,4 +1,4 @@
-"""From candidates to the store, for every way in: collected documents, backfills, streams."""
+"""From candidates to the store, for every way in: collected documents, backfills, streams."""
 
 from __future__ import annotations
 
@@ -11,10 +11,12 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Config
+from .functions.canon import utc_month
 from .model import ConfigError
-from .operators import aggregates, revise
-from .sources import declarative, journal, web
-from .sources.schema import DatasetSchema
+from .operators import aggregates, revise, snapshot
+from .sources import code, declarative, journal, web
+from .sources.schema import DatasetSchema, Registry
 
 
 def stored_rows(spark: SparkSession, root: str) -> DataFrame | None:
@@ -55,7 +57,7 @@ def document_candidates(spark: SparkSession, path: str, c: declarative.Collector
     return out.withColumn("arrival", F.col("arrival").cast("long"))
 
 
-def collect_once(spark: SparkSession, root: str, schema: DatasetSchema, opener: Callable = urllib.request.urlopen, timeout: float = 30.0) -> dict:
+def collect_once(spark: SparkSession, root: str, schema: DatasetSchema, opener: Callable = urllib.request.urlopen, timeout: float = 30.0, folder: str = ".") -> dict:
     """Fetches one dataset's document and stores what is new. The caller holds the writer's lock.
 
     root lies on a file system that the executors mount too, as documents are read from where they landed.
@@ -64,8 +66,16 @@ def collect_once(spark: SparkSession, root: str, schema: DatasetSchema, opener:
     """
     if "collector" not in schema.raw:
         raise ConfigError(f"{schema.name} has no collector")
-    c = declarative.load_collector(schema.name, schema.raw["collector"])
     now = int(time.time() * 1000)
+    if schema.raw["collector"].get("kind") == "code":
+        source = code.load_source(schema.name, schema.raw["collector"], folder)
+        rows = source.candidates(spark, now, timeout)
+        out = {"at": now, "ok": rows is not None, "error": "nothing from the source" if rows is None else None, "written": 0}
+        if rows is not None:
+            out |= into_store(rows, schema, root, f"code/{schema.name}", source.parser, live=True, max_age_ms=source.max_age_ms)
+        journal.replace_json(os.path.join(root, "status", f"{schema.name}.json"), out)
+        return out
+    c = declarative.load_collector(schema.name, schema.raw["collector"])
     found = web.fetch(root, schema.name, c.url, web.CONTENT[c.kind], c.headers, opener, timeout)
     out = {"at": now, "ok": found.problem in (None, "unchanged"), "error": found.problem, "written": 0}
     if found.problem is None:
@@ -75,3 +85,72 @@ def collect_once(spark: SparkSession, root: str, schema: DatasetSchema, opener:
         web.remember(root, schema.name)
     journal.replace_json(os.path.join(root, "status", f"{schema.name}.json"), out)
     return out
+
+
+def compile_store(spark: SparkSession, root: str, registry: Registry) -> int:
+    """Writes the journal's months as windows and names them, with the field tables, in the manifest; how many."""
+    rows = journal.read(spark, os.path.join(root, "journal")).drop("day")
+    old = journal.load_manifest(root)
+    snapshot.write_windows(rows, os.path.join(root, "snapshot"))
+    hashes = snapshot.window_hashes(rows.withColumn("window", F.concat_ws("|", "dataset", utc_month(F.col("known_at")))))
+    found: dict[str, dict] = {}
+    for r in hashes.toLocalIterator():
+        dataset, month = r["window"].split("|")
+        found.setdefault(dataset, {"windows": []})["windows"].append({"from": month, "records": r["records"], "sha256": r["hash"]})
+    for r in journal.last_seq(rows).toLocalIterator():
+        found[r["dataset"]]["last_seq"] = r["last_seq"]
+    for dataset, doc in found.items():
+        if dataset in registry.schemas:
+            doc["fields"] = registry.schema(dataset).field_entries()
+    journal.save_manifest(root, old["datasets"] | found)
+    return sum(len(d["windows"]) for d in found.values())
+
+
+def _interval(spark: SparkSession, root: str, schema: DatasetSchema, now: float) -> float:
+    """Seconds to the next poll: the cadence, the nearer one while a stored event of the dataset is near."""
+    block = schema.raw["collector"]
+    if block.get("kind") == "code":
+        return declarative.duration_seconds(block.get("cadence", 3600))
+    every = declarative.load_collector(schema.name, block).cadence
+    have = stored_rows(spark, root) if every.near is not None else None
+    if have is None:
+        return every.interval(now, [])
+    at = F.col("effective_at") / 1000
+    near = have.where((F.col("dataset") == schema.name) & (at - every.before <= now) & (at + every.after >= now)).limit(1).collect()
+    return every.interval(now, [r["effective_at"] / 1000 for r in near])
+
+
+def run(spark: SparkSession, registry: Registry, config: Config, once: bool = False, opener: Callable = urllib.request.urlopen, clock: Callable = time.time, sleep: Callable = time.sleep) -> list[str]:
+    """Polls each collecting dataset when it is due and compiles now and then, until stopped.
+
+    A failure holds up nobody else: it is recorded, counted and tried again after `retry_seconds`. The file
+    `heartbeat` is touched at least every `heartbeat_seconds`. With `once` every dataset is polled one time; the
+    names of those that failed are returned.
+    """
+    names, root = registry.collecting(), config.root
+    due, failed = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0)
+    compiled = None if config.compile["on_start"] else clock()
+    with journal.writer_lock(root):
+        while True:
+            Path(root, "heartbeat").touch()
+            for name in names:
+                now = clock()
+                if due[name] > now:
+                    continue
+                s = registry.schema(name)
+                try:
+                    out = collect_once(spark, root, s, opener, config.poll["timeout_seconds"], config.datasets_dir)
+                    wait = _interval(spark, root, s, now) if out["ok"] else config.poll["retry_seconds"]
+                except Exception as e:  # one source's trouble is its own
+                    out, wait = {"at": int(now * 1000), "ok": False, "error": str(e)[:500], "written": 0}, config.poll["retry_seconds"]
+                failed[name] = 0 if out["ok"] else failed[name] + 1
+                alert = failed[name] >= config.poll["failures_before_alert"]
+                journal.replace_json(os.path.join(root, "status", f"{name}.json"), out | {"consecutive_failures": failed[name], "alert": alert})
+                due[name] = now + wait
+                Path(root, "heartbeat").touch()
+            if once:
+                return [n for n in names if failed[n]]
+            if stored_rows(spark, root) is not None and (compiled is None or clock() - compiled >= config.compile["every_seconds"]):
+                compile_store(spark, root, registry)
+                compiled = clock()
+            sleep(max(0.0, min([config.poll["heartbeat_seconds"], *[t - clock() for t in due.values()]])))

@@ -71,6 +71,26 @@ def batch_presence(stamps: DataFrame, hours: DataFrame) -> DataFrame:
     return want.join(have, F.col("want") == F.col("s"), "left").groupBy("hour").agg(F.count("s").alias("batches"))
 
 
+def month_coverage(presence: DataFrame, records: DataFrame, gaps: DataFrame, failures: DataFrame) -> DataFrame:
+    """Per month: hours, batches listed and expected, records, gaps (listed, not served), failed hours.
+
+    presence: hour, batches, a row an hour; the others: a row (with hour) each record, gap and failure. An hour
+    belongs to the month that it closes. Every input is added up before the one shuffle.
+    """
+    parts = {"hours": (presence, F.lit(1)), "listed": (presence, F.col("batches")), "records": (records, F.lit(1)), "gaps": (gaps, F.lit(1)), "failed": (failures, F.lit(1))}
+    tagged = None
+    for name, (rows, n) in parts.items():
+        one = rows.select(month_of(F.col("hour")).alias("month"), F.lit(name).alias("what"), n.cast("long").alias("n"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    sums = {name: F.coalesce(F.sum(F.when(F.col("what") == name, F.col("n"))), F.lit(0)) for name in parts}
+    return tagged.groupBy("month").agg(*[c.alias(name) for name, c in sums.items()], (sums["hours"] * 4).alias("expected"))
+
+
+def month_of(hour: Column) -> Column:
+    """The month that an hour end closes an hour of: midnight of the first belongs to the month before."""
+    return F.date_format(F.timestamp_millis(hour - 1), "yyyy-MM")
+
+
 def final_hours(presence: DataFrame, now: int, age_ms: int = 45 * 60_000) -> DataFrame:
     """Complete, or old enough that no more is waited for."""
     return presence.where((F.col("batches") == 4) | ((F.col("batches") > 0) & (F.lit(now) - F.col("hour") >= age_ms)))

@@ -110,6 +110,12 @@ def series(journal: DataFrame, scope: str, field: str, limit: int = 5000) -> Dat
     return top.orderBy("known_at", "seq")
 
 
+def record_view(record_fields: str = "fields") -> Column:
+    """A journal row as one JSON text, nulls kept, the payload nested as it stands."""
+    head = F.to_json(F.struct("known_at", "effective_at", "scope", "key", "revision", "availability", "seq", "source", "parser", "raw_ref"), {"ignoreNullFields": "false"})
+    return F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"fields":'), F.coalesce(F.col(record_fields), F.lit("null")), F.lit("}"))
+
+
 def newest(journal: DataFrame, limit: int = 50) -> DataFrame:
     """The last records by seq (O02); at most 500."""
     return journal.orderBy(F.desc("seq")).limit(min(limit, 500))

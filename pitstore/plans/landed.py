@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import collect
+from ..config import parse_config
 from ..functions import canon, expr, parse
 from ..model import ConfigError, PitError
-from ..operators import aggregates, calendars, snapshot, validate
+from ..operators import aggregates, asof, calendars, snapshot, validate
 from ..runtime import scratch_dir
 from ..sources import declarative, formats, journal, schema
-from .queries import _checked, _journal, _t, query
+from .queries import _NEWS, _checked, _journal, _news, _t, query
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -169,6 +170,37 @@ def compiled_months(spark, sf_dir):
     return snapshot.raw_refs(back).join(counts, F.col("month") == F.col("m")).select("month", "records", F.array_join("raw_deps", ",").alias("raw_deps"))
 
 
+@query(
+    f"""WITH {_NEWS}, h AS (SELECT *, CAST(ceil(stamp / 3600000.0) AS BIGINT) * 3600000 AS hour FROM n), m AS (SELECT *, strftime(make_timestamp((hour - 1) * 1000), '%Y-%m') AS month FROM h)
+SELECT month, count(DISTINCT hour) AS hours, count(DISTINCT stamp) FILTER (WHERE quad = 4) AS listed, 4 * count(DISTINCT hour) AS expected, count(*) AS records, count(*) FILTER (WHERE root = '13') AS gaps,
+count(*) FILTER (WHERE ordinal % 1009 = 7) AS failed, count(*) FILTER (WHERE ordinal % 1009 = 7) = 0 AS done, count(*) AS lines FROM m GROUP BY month"""
+)
+def backfill_months(spark, sf_dir):
+    """Records written by month with their coverage; a month with failed hours stays open."""
+    path = _place(spark, "months")
+    n = _news(spark, sf_dir).withColumn("hour", aggregates.hour_end(F.col("stamp")))
+    presence = aggregates.batch_presence(n.where("quad = 4"), n.select("hour").distinct())
+    coverage = aggregates.month_coverage(presence, n, n.where("root = '13'"), n.where("ordinal % 1009 = 7"))
+    state = formats.write_months(n.select("hour", "id", "quad"), coverage, path)
+    lines = spark.read.schema("value string, month string").text(f"{path}/months").groupBy(F.col("month").alias("m")).agg(F.count(F.lit(1)).alias("lines"))
+    return state.join(lines, F.col("month") == F.col("m")).select("month", "hours", "listed", "expected", "records", "gaps", "failed", "done", "lines")
+
+
+@query(
+    """SELECT event_id AS seq, '{"known_at":' || epoch_us(ts) // 1000 || ',"effective_at":' || epoch_us(ts) // 1000 || ',"scope":"' || upper(event_type) || '","key":"' || event_id || '","revision":1,"availability":"observed","seq":' || event_id || ',"source":"s","parser":"p@1","raw_ref":null,"fields":{"v":"' || floor(value)::BIGINT || '"}}' AS view FROM events"""
+)
+def record_views(spark, sf_dir):
+    """every record as one JSON text."""
+    return _journal(spark, sf_dir).select("seq", asof.record_view().alias("view"))
+
+
+@query("SELECT * FROM (VALUES ('value', 'number', 'usd', '', 'forbid', '', true), ('kind', 'enum', '', 'a,b,c,d', 'forbid', '', true)) AS t(name, type, unit, \"values\", null_policy, derived, strategy)")
+def field_entries(spark, sf_dir):
+    """The field table that the manifest copies from a schema."""
+    rows = [(f["name"], f["type"], f["unit"], ",".join(f["values"]), f["null_policy"], f["derived"], f["strategy"]) for f in validate.EXAMPLE.field_entries()]
+    return spark.createDataFrame(rows, "name string, type string, unit string, values string, null_policy string, derived string, strategy boolean")
+
+
 @query("""SELECT event_id::VARCHAR AS key, event_id AS seq FROM events WHERE event_id > 2500""")
 def journal_tail(spark, sf_dir):
     """The journal as a stream from a seq on, drained once into a table."""
@@ -185,7 +217,7 @@ _RULES = [
     ("duration", "30s", "30.0"), ("duration", "15m", "900.0"), ("duration", "6h", "21600.0"), ("duration", "1d", "86400.0"), ("duration", "45", "45.0"), ("duration", "soon", "refused"),
     ("instant", "1705000000000", "1705000000000"), ("instant", "2024-01-15T08:30:00-05:00", "1705325400000"), ("instant", "2024-01-15T08:30:00Z", "1705307400000"), ("instant", "2024-01-15T08:30:00", "refused"),
     ("lookback", "lag(value, 3)", "3"), ("lookback", "zscore(value, window=24, min_obs=8)", "24"), ("lookback", "value * 2", "0"), ("names", "diff(value, 1) / other", "other,value"), ("names", "lag(value", "refused"),
-    ("keys", "kind", "kind"), ("keys", "knd", "refused"), ("storable", "", "value,kind"), ("schema", "value", "number"), ("schema", "kind", "enum"), ("schema", "other", "refused"),
+    ("keys", "kind", "kind"), ("keys", "knd", "refused"), ("storable", "", "value,kind"), ("config", "poll: { retry_seconds: 5 }", "5.0"), ("config", "poll: { retry: 5 }", "refused"), ("config", "policy: { min_lag_ms: -1 }", "refused"), ("config", "", "300.0"), ("schema", "value", "number"), ("schema", "kind", "enum"), ("schema", "other", "refused"),
 ]
 
 
@@ -197,6 +229,8 @@ def _rule(what: str, text: str) -> str:
             return str(declarative.duration_seconds(text))
         if what == "instant":
             return str(instant(text))
+        if what == "config":
+            return str(parse_config(text).poll["retry_seconds"])
         if what == "lookback":
             return str(expr.lookback(text))
         if what == "names":
@@ -212,7 +246,7 @@ def _rule(what: str, text: str) -> str:
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _RULES) + ") AS t(what, input, result)")
 def config_rules(spark, sf_dir):
-    """What small texts are read as, or refused."""
+    """What small texts are read as, or refused."""
     return spark.createDataFrame([(what, text, _rule(what, text)) for what, text, _ in _RULES], "what string, input string, result string")
 
 

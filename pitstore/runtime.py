@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .model import ConfigError
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -41,9 +43,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where that is unset, a temporary one in local mode; a cluster could not share it and is refused.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ConfigError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="pitstore-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -54,9 +61,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that stored() wrote and release() has not deleted.
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables stored() wrote that still are: the mark for a later release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the tables that stored() wrote after the first `since`, but for the last `keep`; how many are left.
+
+    Only for when nothing that reads them will run again: they are what lost executors' work is redone from.
+    """
+    gone = _written[since : len(_written) - keep]
+    jvm = spark.sparkContext._jvm
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written[since : len(_written) - keep] = []
+    return len(_written)
+
+
 def placed(rows: DataFrame, order: str, column: str, by: list[str] | None = None) -> DataFrame:
     """rows with <column>, their place from 0 in the order of `order`, within each value of `by`.
 

@@ -96,6 +96,29 @@ def backfill_ndjson(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("fields", F.col("f")).withColumn("availability", F.coalesce("availability", F.lit("derived"))).withColumn("parse_error", F.lit(None).cast("string")).drop("f")
 
 
+COVERAGE = "hours long, listed long, records long, gaps long, failed long, expected long, done boolean, month string"
+
+
+def write_months(rows: DataFrame, coverage: DataFrame, path: str) -> DataFrame:
+    """Candidates (with `hour`) as NDJSON by month; the state of all months so far.
+
+    A month without failed hours is done and never written again; one with failures is replaced by the next run.
+    Rows land before their month's state: a run that dies between leaves the month open.
+    """
+    from ..operators.aggregates import month_of
+
+    spark = rows.sparkSession
+    replace = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month")
+    replace(coverage.where(F.lit(False)).withColumn("done", F.lit(False))).parquet(f"{path}/state")
+    state = lambda: spark.read.schema(COVERAGE).parquet(f"{path}/state")
+    done = state().where("done").select(F.col("month").alias("m"))
+    left = coverage.join(done, F.col("month") == F.col("m"), "left_anti").withColumn("done", F.col("failed") == 0)
+    texts = rows.withColumn("month", month_of(F.col("hour"))).join(done, F.col("month") == F.col("m"), "left_anti")
+    replace(texts.select("month", F.to_json(F.struct(*[c for c in rows.columns if c != "hour"])).alias("value"))).text(f"{path}/months")
+    replace(left.select(*[c.split()[0] for c in COVERAGE.split(", ")])).parquet(f"{path}/state")
+    return state()
+
+
 def rates_csv(spark: SparkSession, path: str, series: str, cal: DataFrame, cadence: str = "daily") -> DataFrame:
     """Daily or monthly rates: value null for `.` or blank, in effect at 16:00 New York, known on release."""
     from ..operators.calendars import at_local, rate_published

@@ -133,6 +133,10 @@ class DatasetSchema:
     def storable_fields(self) -> list[FieldSpec]:
         return [f for f in self.fields.values() if f.type != "string"]
 
+    def field_entries(self) -> list[dict]:
+        """The field table for the manifest, so that a reader needs no schema file."""
+        return [{"name": f.name, "type": f.type, "unit": f.unit, "values": list(f.values), "null_policy": f.null_policy, "derived": f.derived, "strategy": f.strategy} for f in self.fields.values()]
+
     def derived_fields(self) -> list[FieldSpec]:
         return [self.fields[n] for n in self.derived_order]
 

@@ -1,16 +1,17 @@
 import hashlib
 import io
 import json
+import os
 import random
 import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
 
-from pitstore import cli, collect, runtime
+from pitstore import cli, collect, config, runtime
 from pitstore.model import ConfigError, SchemaError, StoreError
 from pitstore.operators import aggregates, asof, calendars, revise, snapshot, validate
-from pitstore.sources import declarative, formats, journal, schema
+from pitstore.sources import code, declarative, formats, journal, schema
 from pitstore.streaming import ingest as streaming
 
 DAY = 86_400_000
@@ -367,3 +368,80 @@ def test_near_reads(spark):
     probes = spark.createDataFrame([("e", T0 + 1000, 1), ("e", T0 + 1999, 2), ("f", T0, 3)], "u string, at long, p long")
     got = {r.p: r.value for r in asof.as_of_many(facts, probes, ["u"], "at", "p", F.col("value"), 999).collect()}
     assert got == {1: None, 2: 1.5, 3: None}
+
+
+class Feed:
+    """A code source: two facts on the first poll, then nothing."""
+
+    parser, max_age_ms, left = "feed@1", None, 1
+
+    def candidates(self, spark, now_ms, timeout):
+        if Feed.left == 0:
+            return None
+        Feed.left -= 1
+        rows = [("USD", T0 + k * DAY, T0 + k * DAY, json.dumps({"value": str(k)}), None, None, "published", None, None, k) for k in range(2)]
+        return spark.createDataFrame(rows, "scope string, effective_at long, known_at long, fields string, period_start long, period_end long, availability string, title string, parse_error string, arrival long")
+
+
+CODE = COLLECTED.split("collector:")[0].replace("rates.us.web", "rates.us.code") + "collector:\n  kind: code\n  module: tests.test_engine\n  class: Feed\n"
+
+
+def test_run_isolates_and_retries(spark, tmp_path):
+    """A dataset whose server is down is tried again after retry_seconds; the others go on; windows carry the field table."""
+    module = __name__
+    reg = schema.Registry({s.name: s for s in (schema.parse_schema(CODE.replace("tests.test_engine", module)), schema.parse_schema(COLLECTED.replace("KIND", "json")))})
+    conf = config.parse_config("poll: { retry_seconds: 10, failures_before_alert: 2 }\ncompile: { on_start: true }", str(tmp_path / "s"))
+    server = Server((503, "application/json", b""), (503, "application/json", b""))
+    now = [1000.0]
+
+    class Enough(Exception):
+        pass
+
+    def sleep(seconds):
+        now[0] += 11
+        if len(server.asked) == 2:
+            raise Enough
+
+    with pytest.raises(Enough):
+        collect.run(spark, reg, conf, opener=server, clock=lambda: now[0], sleep=sleep)
+    root = conf.root
+    assert journal.read_json(f"{root}/status/rates.us.web.json")["alert"] and os.path.exists(f"{root}/heartbeat")
+    assert journal.read(spark, f"{root}/journal").count() == 2
+    assert journal.load_manifest(root)["datasets"]["rates.us.code"]["fields"][0]["null_policy"] == "allow"
+    assert collect.run(spark, reg, conf, once=True, opener=Server((503, "application/json", b""))) == ["rates.us.code", "rates.us.web"]
+    with pytest.raises(ConfigError):
+        code.load_source("a.b", {"kind": "code", "module": module, "class": "Feed", "odd": 1})
+    with pytest.raises(ConfigError):
+        code.load_source("a.b", {"kind": "code", "module": module, "class": "None such"})
+
+
+def test_config():
+    c = config.parse_config("root: /x\npolicy: { refuse_derived: true }")
+    assert (c.root, c.policy.refuse_derived, c.policy.stale_after_ms, c.server["port"], c.compile["every_seconds"]) == ("/x", True, 900_000, 8431, 3600.0)
+    for bad in ("rot: /x", "poll: { timeout: 1 }", "poll: { timeout_seconds: soon }", "policy: { refuse_derived: 1 }"):
+        with pytest.raises(ConfigError):
+            config.parse_config(bad)
+
+
+def test_months_that_failed_are_written_again(spark, tmp_path):
+    hour = 1_704_067_200_000  # 2024-01-01 00:00, which closes December
+    rows = spark.createDataFrame([(hour, "a"), (hour + 3_600_000, "b")], "hour long, id string")
+    presence = spark.createDataFrame([(hour, 4), (hour + 3_600_000, 3)], "hour long, batches int")
+    none = rows.where("false")
+
+    def go(rows, failures):
+        state = formats.write_months(rows, aggregates.month_coverage(presence, rows, none, failures), str(tmp_path / "m"))
+        lines = {r.month: r.value for r in spark.read.schema("value string, month string").text(str(tmp_path / "m/months")).collect()}
+        return {r.month: (r.listed, r.expected, r.failed, r.done) for r in state.collect()}, lines
+
+    assert go(rows, rows.where("id = 'b'")) == ({"2023-12": (4, 4, 0, True), "2024-01": (3, 4, 1, False)}, {"2023-12": '{"id":"a"}', "2024-01": '{"id":"b"}'})
+    state, lines = go(rows.withColumn("id", F.upper("id")), none)
+    assert state["2024-01"] == (3, 4, 0, True) and lines == {"2023-12": '{"id":"a"}', "2024-01": '{"id":"B"}'}
+
+
+def test_scratch_tables_are_released(spark):
+    since = runtime.written()
+    a, b = (runtime.stored(spark.range(3), "kept") for _ in range(2))
+    assert runtime.release(spark, since, keep=1) == since + 1 and b.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(a.inputFiles()[0].rsplit("/", 1)[0]).count()
