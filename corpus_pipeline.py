@@ -1,7 +1,9 @@
 """The corpus pipeline: documents -> toxicity, line dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet into the
-shared folder and reads it again as the next one's input. All but the last return the columns of documents.
+shared folder and reads it again as the next one's input, and deletes what the stage itself wrote on the way. All but
+the last return the columns of documents. Null and empty texts, repeated rows, null ids, columns beyond those of
+documents and empty tables are taken as each stage's operator states; all of these pass through to the packed rows.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pitstore.llm.packing import pack
 from pitstore.llm.queries import BYTE_BPE, CATEGORIES, mixed
 from pitstore.llm.simhash import keep_one
 from pitstore.llm.toxicity import drop_toxic, fit
+from pitstore.runtime import release, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, mark, keep=1)  # the stage is written whole: nothing reads its tables, nor its input, again
     return STAGES[-1][1](spark, docs, sf_dir)
