@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empties, ties, repeats, clashing columns."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -591,3 +592,63 @@ def test_pipeline(spark, tmp_path):
             assert now.where("text like '% tail%'").count() == 1
     tokens = F.sum("length").alias("n")  # where pieces are cut depends on the order of rows, what is packed does not
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(tokens).first().n == now.agg(tokens).first().n > 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, library):
+    """Each stage against its plain version, on what the one before kept: nulls, empties, repeats, a long text, other columns."""
+    import corpus_pipeline
+
+    base = text(80)
+    rows = [*ROWS, *((300 + k, base + f" tail{k}", "a", "s0") for k in range(5)), *((400 + k, "awful " * (k + 1) + text(20), "a", "s1") for k in range(40)), (500, "\n".join(text(30) for _ in range(600)), "b", "s2")]
+    docs = spark.createDataFrame([(i, t, g, s, 1, "x", 2, 3, "w", "y") for i, t, g, s in rows], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(400 <= i < 440), int(400 <= i < 440)) for i, *_ in rows if i is not None] + [(None, 1, 1), (9999, 1, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    same = lambda got, want: collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(want)
+    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), [(i, t) for i, t, *_ in rows]
+
+    chain = toxicity.fit(now, spark.read.parquet(str(tmp_path / "labels.parquet")), ["quality", "toxic"])
+    kept = [(i, t) for i, t in kept if chain.probabilities([toxicity.features(t)])[0, 1] < 0.4]
+    assert not [i for i, _ in kept if i is not None and 400 <= i < 440] and len(kept) > len(rows) - 45
+    now = corpus_pipeline.toxicity(spark, now, str(tmp_path)).cache()
+    assert same(now.collect(), kept) and now.columns == docs.columns
+
+    plain = plain_line_dedup(kept)
+    kept = [(i, None if t is None else plain[i is not None, i or 0, t]) for i, t in kept]
+    now = corpus_pipeline.line_dedup(spark, now, str(tmp_path)).cache()
+    assert same(now.collect(), kept) and all(r.n_chars == len(r.text or "") for r in now.collect())
+
+    words = collections.defaultdict(set)
+    for i, t in kept:
+        words[i].add(t)
+    named = {i: frozenset().union(*(shingles(t) for t in ts)) for i, ts in words.items() if i is not None and len(ts) == 1}
+    equal = {i: tuple((min(words[i], key=str) or "").encode().lower().split()) for i in named}
+    groups = closure(named, lambda a, b: equal[a] == equal[b] or (named[a] and len(named[a] & named[b]) / len(named[a] | named[b]) >= 0.8))
+    now = corpus_pipeline.near_dedup(spark, now, str(tmp_path)).cache()
+    left = collections.Counter(r.doc_id for r in now.collect())
+    assert {i for i in left if i in named} == {i for i, r in groups.items() if i == r} and left[None] == sum(i is None for i, _ in kept)
+    assert len([i for i in left if i is not None and 300 <= i < 305]) == 1
+
+    fitted = corpus_pipeline.mixed(now, corpus_pipeline.MIX_BUDGET).collect()
+    draw = lambda i: int(hashlib.md5(f"{'' if i is None else i}:3".encode()).hexdigest()[:8], 16) / 2**32
+    want = collections.Counter((r["row"].doc_id, r["row"].text) for r in fitted if r.tokens == 0 or draw(r["row"].doc_id) < r.probability)
+    share = sum(r.tokens * r.probability for r in fitted) / sum(r.tokens for r in fitted)
+    now = corpus_pipeline.mixing(spark, now, str(tmp_path)).cache()
+    assert same(now.collect(), want) and abs(share - corpus_pipeline.MIX_BUDGET) < 1e-6
+
+    packed, tokens = corpus_pipeline.packing(spark, now, str(tmp_path)).collect(), collections.Counter()
+    for r in packed:
+        tokens[r.doc_id] += r.length
+    want = collections.Counter()
+    for r in now.collect():
+        want[r.doc_id] += len(library(r.text)) + 1
+    assert tokens == want
+    assert sum(r.length for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sum(want.values())
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
