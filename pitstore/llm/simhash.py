@@ -243,6 +243,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
 
 #: Members of a block that one task compares at most; larger blocks are dealt out as pairs of parts.
 BLOCK = 1024
+#: Pairs whose sketches are compared at once: 2 MB at 256 values each.
+PAIRS = 512
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]  # multipliers of the min-hashes
 
 
@@ -261,7 +263,8 @@ def resemblances(low: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, s
 
     Exact where both sets fit into the sketch; else the share of common ones among the `size` smallest of both.
     """
-    both = np.sort(np.concatenate([low[i, :size], low[j, :size]], axis=1), axis=1)
+    both = np.concatenate([low[i, :size], low[j, :size]], axis=1)
+    both.sort(axis=1)
     twice = np.zeros(both.shape, bool)
     twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
     rank = np.cumsum(~twice, axis=1, dtype=np.int32)
@@ -323,8 +326,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
         ok = np.minimum(n[i], n[j]) >= similarity * most
         for width, slack in ((sketch // 4, 0.3), (sketch, 0.15)):  # a coarse look spares most
             at = np.flatnonzero(ok)
-            for k in range(0, len(at), 4096):
-                part = at[k : k + 4096]
+            for k in range(0, len(at), PAIRS):
+                part = at[k : k + PAIRS]
                 ok[part] = resemblances(low, n, i[part], j[part], width) >= np.where(most[part] <= width, similarity, similarity - slack)
         return ok & (most <= sketch), ok & (most > sketch)
 
