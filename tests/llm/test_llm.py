@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pitstore.llm import bpe, lattice, line_dedup, mixing, multi_index, packing, projections, simhash, suffix_dedup, token_counts, toxicity
+from pitstore.llm import bpe, lattice, line_dedup, mixing, multi_index, packing, projections, queries, simhash, suffix_dedup, token_counts, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -349,6 +349,18 @@ def test_suffix_dedup(docs, nothing, monkeypatch, crowd):
         suffix_dedup.repeated(docs, 50)
 
 
+def test_op8_returns_the_text_that_is_left(spark, tmp_path):
+    words = [f"w{k:05d}" for k in range(400)]
+    long, short = " ".join(words[:60]), " ".join(words[60:115])  # 419 and 384 bytes; both over 50 words
+    split = "x" * 400 + "é", "x" * 400 + "è"  # C3 A9 and C3 A8: 401 bytes in common
+    texts = [f"one {long} end", f"two {long} fin", f"three {short} end", f"four {short} fin", "clean " + " ".join(words[200:300]), None, *split]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[k].text for k in range(8)] == ["oneend", "twofin", *texts[2:5], "", "\ufffd", "\ufffd"]
+    assert [got[k].n_bytes for k in range(8)] == [len((t or "").encode()) for t in texts]
+    assert got[6].kept_sha256 == hashlib.sha256(b"\xa9").hexdigest()
+
+
 def test_anchors_are_those_of_each_window_wherever_a_piece_ends(monkeypatch):
     raw, size = "".join(rng.choice("ab é") for _ in range(3000)).encode(), 100
 
