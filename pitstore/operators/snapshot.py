@@ -7,13 +7,13 @@ import json
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canon import NULL_I64, canonical_json, decimal_text, month_bounds, utc_month
 from ..model import AVAILABILITY, CANONICAL_ORDER, StoreError
-from ..runtime import placed
+from ..runtime import placed, stored
 from ..sources.schema import DatasetSchema, parse_schema
 
 # Fixed values of the binary form.
@@ -174,14 +174,194 @@ def decode(data: bytes) -> tuple[dict, list[dict]]:
     return header, rows
 
 
-def encoded(journal: DataFrame, schema_text: str) -> DataFrame:
-    """(month, records, sha256, content): every month's window, encoded by one task and read back as a check."""
+# --- the binary form of windows of any size -----------------------------------------------------------------
+
+# A window may outgrow a task's memory and the 2 GB that one value can hold, so it is made as pieces.
+PIECE_ROWS, PIECE_BYTES, BLOCK = 1024, 8192, 16_384
+#: Dictionaries of up to so many bytes are broadcast to the rows; larger ones are joined.
+SMALL_DICTIONARY = 8 << 20
+PIECE = "month string, section int, at long, part int, items long, content binary"
+SEALED = "month string, records long, sha256 string, trailer binary"
+
+
+def _columns(schema: DatasetSchema) -> list[tuple[str, str]]:
+    """(column, kind) in the order of the file."""
+    out = [(c, "<i8") for c in LONGS] + [("scope_idx", "<i4"), ("key_idx", "<i4"), ("revision", "<i4"), ("availability", "u1"), ("seq", "<i8")]
+    return out + [(f"{d}_idx", "<i4") for d in DICTIONARIES[2:]] + [(f.name, "<i8") for f in schema.storable_fields()]
+
+
+def _cut(month, section: int, at: int, items: int, data: bytes) -> list[tuple]:
+    """data as parts of at most PIECE_BYTES; the last one counts the items."""
+    return [(month, section, at, k, items if o + PIECE_BYTES >= len(data) else 0, data[o : o + PIECE_BYTES]) for k, o in enumerate(range(0, len(data), PIECE_BYTES))]
+
+
+def _batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, kinds = zip(*[f.split() for f in kind.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows), kinds)], names=list(names))
+
+
+def _heads(schema: DatasetSchema):
+    """Rows of (month, records, a count for each dictionary) -> the header's piece and those of the counts."""
+
+    def one(batches):
+        kept = schema.storable_fields()
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                head = [MAGIC, struct.pack("<i", VERSION), bytes.fromhex(schema.hash()), _text(schema.name), struct.pack("<iii", r["records"], len(kept), SCALE)]
+                head += [_text(f.name) + struct.pack("<B", TYPE_CODES[f.type]) + _text(f.unit) for f in kept]
+                out.append((r["month"], 0, 0, 0, r["records"], b"".join(head)))
+                out += [(r["month"], 1 + k, -1, 0, r[d], struct.pack("<i", r[d])) for k, d in enumerate(DICTIONARIES)]
+            if out:
+                yield _batch(out, PIECE)
+
+    return one
+
+
+def _runs(months: list, places: list):
+    """Stretches [a, b) of rows that follow each other in one month, cut where PIECE_ROWS begin."""
+    a = 0
+    for k in range(1, len(places) + 1):
+        if k == len(places) or months[k] != months[a] or places[k] != places[k - 1] + 1 or places[k] % PIECE_ROWS == 0:
+            yield a, k
+            a = k
+
+
+def _words(batches):
+    """Sorted rows of (month, d, value, place) -> pieces of the dictionaries, each read back."""
+    for b in batches:
+        month, d, value, place = (b.column(k).to_pylist() for k in range(4))
+        out = []
+        for a, e in _runs(list(zip(month, d)), place):
+            data, at = b"".join(map(_text, value[a:e])), 0
+            for v in value[a:e]:
+                n = struct.unpack_from("<i", data, at)[0]
+                if data[at + 4 : at + 4 + n].decode() != v:
+                    raise StoreError("a dictionary reads back otherwise")
+                at += 4 + n
+            out += _cut(month[a], 1 + d[a], place[a], e - a, data)
+        if out:
+            yield _batch(out, PIECE)
+
+
+def _values(schema: DatasetSchema):
+    """Sorted rows with their place -> pieces of the columns, each read back."""
+
+    def one(batches):
+        kept, columns = schema.storable_fields(), _columns(schema)
+        for b in batches:
+            rows = {c: b.column(c).to_pylist() for c in b.schema.names}
+            if any(x != schema.name for x in rows["dataset"]):
+                raise StoreError(f"rows of another dataset than {schema.name}")
+            payload = [json.loads(x) for x in rows.pop("fields")]
+            rows |= {c: [NULL_I64 if x is None else x for x in rows[c]] for c in LONGS}
+            rows["availability"] = [AVAILABILITY.index(x) for x in rows["availability"]]
+            fields = {f.name: [_fixed(f.type, p.get(f.name)) for p in payload] for f in kept}
+            out = []
+            for a, e in _runs(rows["month"], rows["place"]):
+                for k, (c, kind) in enumerate(columns):
+                    want = (fields[c] if k >= len(columns) - len(kept) else rows[c])[a:e]
+                    data = np.array(want, kind).tobytes()
+                    if np.frombuffer(data, kind).tolist() != want:
+                        raise StoreError(f"{c} reads back otherwise")
+                    out += _cut(rows["month"][a], 1 + len(DICTIONARIES) + k, rows["place"][a], e - a, data)
+            if out:
+                yield _batch(out, PIECE)
+
+    return one
+
+
+def pieces(journal: DataFrame, schema: DatasetSchema) -> DataFrame:
+    """Every month's window but for its trailer, as pieces in the order of (section, at, part): header, dictionaries, columns.
+
+    journal has `month`. Rows are numbered in canonical order by range, dictionary values too; no task holds a window.
+    """
+    order = [*CANONICAL_ORDER, *[c for c in (*LONGS, "availability", *DICTIONARIES, "fields") if c not in CANONICAL_ORDER]]
+    rows = stored(journal.select("month", "dataset", *order), "window-rows")
+    values = rows.select("month", F.explode(F.array(*[F.struct(F.lit(k).alias("d"), F.col(c).alias("value")) for k, c in enumerate(DICTIONARIES)])).alias("v"))
+    words = stored(placed(values.select("month", "v.*").where("value is not null").distinct(), "value", "place", ["month", "d"]).select("month", "d", "value", "place"), "window-words")
+    sizes = {r["d"]: r["bytes"] for r in words.groupBy("d").agg(F.sum(F.octet_length("value") + 16).alias("bytes")).collect()}
+    months = rows.groupBy("month").agg(F.count(F.lit(1)).alias("records"))
+    counts = words.groupBy(F.col("month").alias("_m")).agg(*[F.count_if(F.col("d") == k).alias(c) for k, c in enumerate(DICTIONARIES)])
+    heads = months.join(counts, F.col("month").eqNullSafe(F.col("_m")), "left").select("month", "records", *[F.coalesce(c, F.lit(0)).alias(c) for c in DICTIONARIES])
+
+    full = placed(rows, order, "place", ["month"])
+    for k, c in enumerate(DICTIONARIES):
+        if k not in sizes:
+            full = full.withColumn(f"{c}_idx", F.lit(-1))
+            continue
+        of = words.where(F.col("d") == k).select(F.col("month").alias("_m"), F.col("value").alias("_v"), F.col("place").cast("int").alias("_i"))
+        of = F.broadcast(of) if sizes[k] <= SMALL_DICTIONARY else of
+        full = full.join(of, F.col("month").eqNullSafe(F.col("_m")) & (F.col(c) == F.col("_v")), "left").withColumn(f"{c}_idx", F.coalesce("_i", F.lit(-1))).drop("_m", "_v", "_i")
+    full = full.select("month", "place", "dataset", "fields", *[c for c, _ in _columns(schema)[: len(LONGS) + 5 + len(DICTIONARIES) - 2]])
+
+    def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.repartition(*by, F.floor(F.col("place") / BLOCK)).sortWithinPartitions(*by, "place")
+
+    out = heads.mapInArrow(_heads(schema), PIECE).unionByName(dealt(words, ["month", "d"]).mapInArrow(_words, PIECE))
+    return out.unionByName(dealt(full, ["month"]).mapInArrow(_values(schema), PIECE))
+
+
+def sealed(parts: DataFrame, schema: DatasetSchema) -> DataFrame:
+    """(month, records, sha256, trailer): reads the pieces of each window in order, checks that none is missing, and hashes them.
+
+    A SHA-256 is of one stream, so one task reads a window; it holds a batch of pieces.
+    """
+    widths = [np.dtype(kind).itemsize for _, kind in _columns(schema)]
+    first = 1 + len(DICTIONARIES)
+
+    def one(batches):
+        month, h, records, section, items, due, next_part = None, None, 0, 0, 0, 0, 0
+
+        def close():
+            """Of one section: as many items as were announced."""
+            if next_part or items != due:
+                raise StoreError("snapshot ends too soon" if items < due else "snapshot is longer than it says")
+
+        def end():
+            close()
+            if section != first + len(widths) - 1:
+                raise StoreError("snapshot ends too soon")
+            trailer = h.digest()
+            h.update(trailer)
+            return _batch([(month, records, h.hexdigest(), trailer)], SEALED)
+
+        for b in batches:
+            for m, s, at, part, n, content in zip(*[c.to_pylist() for c in b.columns]):
+                if h is None or (s, at, part) == (0, 0, 0):
+                    if h is not None:
+                        yield end()
+                    if (s, at, part) != (0, 0, 0) or content[:4] != MAGIC:
+                        raise StoreError("not a snapshot")
+                    month, h, records, section, items, due, next_part = m, hashlib.sha256(), n, 0, 0, n, 0
+                if m != month:
+                    raise StoreError("not a snapshot")
+                if s != section:
+                    close()
+                    if s != section + 1 or (s < first) != (at == -1):
+                        raise StoreError("snapshot ends too soon")
+                    section, items, due = s, 0, n if s < first else records
+                if part != next_part or (at != -1 and at != items):
+                    raise StoreError("snapshot ends too soon")
+                if at == -1:
+                    if struct.unpack("<i", content)[0] != n:
+                        raise StoreError("snapshot is damaged")
+                else:
+                    if s >= first and len(content) != n * widths[s - first]:
+                        raise StoreError("snapshot is damaged")
+                    items, next_part = items + n, 0 if n else part + 1
+                h.update(content)
+        if h is not None:
+            yield end()
+
+    return parts.repartition("month").sortWithinPartitions("month", "section", "at", "part").mapInArrow(one, SEALED)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        schema = parse_schema(schema_text)
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        data = encode(schema, rows)
-        decode(data)
-        return pd.DataFrame([{"month": rows[0]["month"], "records": len(rows), "sha256": hashlib.sha256(data).hexdigest(), "content": data}])
 
-    return journal.groupBy("month").applyInPandas(one, "month string, records long, sha256 string, content binary")
+def encoded(journal: DataFrame, schema_text: str) -> DataFrame:
+    """(month, records, sha256, trailer): every month's window, written as pieces to the shared folder and read back.
+
+    A window's bytes are its pieces and the trailer, as encode() gives them.
+    """
+    schema = parse_schema(schema_text)
+    return sealed(stored(pieces(journal, schema), "window-pieces"), schema)

@@ -445,3 +445,37 @@ def test_scratch_tables_are_released(spark):
     assert runtime.release(spark, since, keep=1) == since + 1 and b.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(a.inputFiles()[0].rsplit("/", 1)[0]).count()
+
+
+def test_windows_are_encoded_in_pieces(spark, monkeypatch):
+    """Piece by piece, with its trailer, each window is what encode() gives; no task holds one; a lost piece is told."""
+    s, r = schema.parse_schema(validate.EXAMPLE_TEXT), random.Random(5)
+    names = ["dataset", *snapshot.CANONICAL_ORDER, "effective_at", "period_start", "period_end", "availability", "source", "source_version", "parser", "raw_ref", "fields"]
+    data = []
+    for n in range(2600):
+        at = T0 + (40 * DAY if n % 10 == 0 else 0) + r.randint(0, 50)
+        payload = {"kind": r.choice([None, 0, 3]), "value": r.choice([None, "-0.00000001", "1.5", "92233720368.5"])}
+        data.append([s.name, at, r.choice(["US", "DE", "JP"]), r.choice(["é", "Z", "a|", "\U0001f600", f"k{n}", "long" * 3000]), r.randint(1, 2), n, at - 7, r.choice([None, 5]), None, r.choice(snapshot.AVAILABILITY), "s", "", r.choice(["p@1", "p@2"]), r.choice([None, f"raw/{n % 700}"]), json.dumps(payload)])
+    kinds = ["string", "long", "string", "string", "int", "long", "long", "long", "long", "string", "string", "string", "string", "string", "string"]
+    j = spark.createDataFrame(data, ", ".join(map(" ".join, zip(names, kinds)))).repartition(5).withColumn("month", F.date_format(F.timestamp_millis("known_at"), "yyyy-MM"))
+    want = {}
+    for row in data:
+        want.setdefault("2023-11" if row[1] < T0 + DAY else "2023-12", []).append(dict(zip(names, row)))
+    want = {m: snapshot.encode(s, rows) for m, rows in want.items()}
+    for small in (snapshot.SMALL_DICTIONARY, 0):
+        monkeypatch.setattr(snapshot, "SMALL_DICTIONARY", small)
+        parts = runtime.stored(snapshot.pieces(j, s), "pieces")
+        assert parts.agg(F.max(F.length("content"))).first()[0] <= snapshot.PIECE_BYTES
+        got = {}
+        for p in parts.orderBy("month", "section", "at", "part").collect():
+            got[p.month] = got.get(p.month, b"") + bytes(p.content)
+        ends = {x.month: x for x in snapshot.sealed(parts, s).collect()}
+        assert {m: b + bytes(ends[m].trailer) for m, b in got.items()} == want
+        assert all(snapshot.decode(b)[0]["records"] == ends[m].records and hashlib.sha256(b).hexdigest() == ends[m].sha256 for m, b in want.items())
+    plan = snapshot.encoded(j, validate.EXAMPLE_TEXT)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and snapshot.encoded(j.limit(0), validate.EXAMPLE_TEXT).count() == 0
+    for lost in ("section = 2 and part = 0", "section = 2 and part = 1", "section = 7 and at = 1024", "section = 18", "section = 0"):
+        with pytest.raises(Exception, match="StoreError"):
+            snapshot.sealed(parts.where(f"not (month = '2023-11' and {lost})"), s).collect()
+    with pytest.raises(Exception, match="rows of another dataset"):
+        snapshot.encoded(j.withColumn("dataset", F.lit("mkt.other.x")), validate.EXAMPLE_TEXT).collect()
