@@ -9,6 +9,7 @@ Three ways, by what the dataset's derived fields look back on:
 from __future__ import annotations
 
 import bisect
+import hashlib
 import json
 
 import pandas as pd
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..functions.canon import canonical_json, decimal_text, sha256_text
+from ..functions.canon import NULL_I64, canonical_json, decimal_text
+from ..runtime import arrow_batch
 from ..sources.schema import DatasetSchema
 
 
@@ -72,32 +74,54 @@ def history_before(facts: DataFrame, limit: int) -> DataFrame:
 
 
 class History:
-    """A scope's facts by (effective_at, key), each key once, the latest revision."""
+    """A scope's facts by (effective_at, key), each key once, the latest revision.
 
-    def __init__(self):
-        self.order: list[tuple[int, str]] = []
-        self.payload: dict[str, dict] = {}
-        self.at: dict[str, int] = {}
+    The order is kept in blocks, so a step costs no more in a scope of many keys. A fact without a time is first.
+    """
 
-    def upsert(self, effective_at: int, key: str, payload: dict) -> None:
-        if key in self.at:
-            del self.order[bisect.bisect_left(self.order, (self.at[key], key))]
-        bisect.insort(self.order, (effective_at, key))
-        self.at[key], self.payload[key] = effective_at, payload
+    BLOCK = 1000
 
-    def before(self, effective_at: int, key: str, limit: int) -> list[dict]:
+    def __init__(self):
+        self.blocks: list[list[tuple[int, str]]] = [[]]
+        self.lows: list[tuple[int, str]] = [(NULL_I64, "")]
+        self.facts: dict[str, tuple[int, object]] = {}
+
+    def _block(self, item: tuple[int, str]) -> int:
+        return max(0, bisect.bisect_right(self.lows, item) - 1)
+
+    def upsert(self, effective_at: int | None, key: str, payload) -> None:
+        at = NULL_I64 if effective_at is None else effective_at
+        if key in self.facts:
+            old = self.facts[key][0], key
+            b = self._block(old)
+            del self.blocks[b][bisect.bisect_left(self.blocks[b], old)]
+            if not self.blocks[b] and b:
+                del self.blocks[b], self.lows[b]
+        b = self._block((at, key))
+        block = self.blocks[b]
+        bisect.insort(block, (at, key))
+        if len(block) > 2 * self.BLOCK:
+            self.blocks[b : b + 1] = [block[: self.BLOCK], block[self.BLOCK :]]
+            self.lows.insert(b + 1, block[self.BLOCK])
+        self.facts[key] = at, payload
+
+    def before(self, effective_at: int | None, key: str, limit: int) -> list:
         """The last `limit` facts strictly before, without the key itself, oldest first."""
-        end = bisect.bisect_left(self.order, (effective_at, key))
-        picked = []
-        for at, k in reversed(self.order[:end]):
-            if len(picked) == limit:
-                break
-            if k != key:
-                picked.append(self.payload[k])
+        item = (NULL_I64 if effective_at is None else effective_at), key
+        b, picked = self._block(item), []
+        end = bisect.bisect_left(self.blocks[b], item)
+        while b >= 0 and len(picked) < limit:
+            for k in range(end - 1, -1, -1):
+                if len(picked) == limit:
+                    break
+                if self.blocks[b][k][1] != key:
+                    picked.append(self.facts[self.blocks[b][k][1]][1])
+            b -= 1
+            end = len(self.blocks[b])
         return picked[::-1]
 
-    def payloads(self) -> list[dict]:
-        return [self.payload[k] for _, k in self.order]
+    def payloads(self) -> list:
+        return [self.facts[k][1] for block in self.blocks for _, k in block]
 
 
 def build_key(schema: DatasetSchema, row: dict, fields: dict) -> str:
@@ -123,24 +147,36 @@ def build_key(schema: DatasetSchema, row: dict, fields: dict) -> str:
     return "|".join(parts)
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode()).digest()
+
+
 class Fold:
-    """The state of one dataset (or dataset and scope): revisions by key, history by scope."""
+    """The state of one dataset (or dataset and scope): revisions by key, history by scope.
+
+    A key costs its text, a revision, 32 bytes of digest and the values that derived fields read.
+    """
 
     def __init__(self, schema: DatasetSchema, now_ms: int, live: bool, skew_ms: int = 5_000, max_age_ms: int | None = None):
         self.schema, self.now, self.live, self.skew, self.max_age = schema, now_ms, live, skew_ms, max_age_ms
         self.trees = [(n, expr.parse(schema.fields[n].derived)) for n in schema.derived_order]
         self.depth = max([t.lookback() for _, t in self.trees], default=0)
-        self.state: dict[str, tuple[int, str]] = {}
+        self.read = sorted(frozenset().union(*[t.names() for _, t in self.trees]))
+        self.state: dict[str, tuple[int, bytes]] = {}
         self.history: dict[str, History] = {}
 
+    def keep(self, scope: str, key: str, effective_at: int, revision: int, digest: bytes, fields: dict) -> None:
+        self.state[key] = revision, digest
+        if self.depth:
+            self.history.setdefault(scope, History()).upsert(effective_at, key, tuple(fields.get(n) for n in self.read))
+
     def load(self, scope: str, key: str, effective_at: int, revision: int, fields: dict) -> None:
         if key not in self.state or revision > self.state[key][0]:
-            self.state[key] = revision, sha256_text(canonical_json(fields))
-            if self.depth:
-                self.history.setdefault(scope, History()).upsert(effective_at, key, fields)
+            self.keep(scope, key, effective_at, revision, _digest(canonical_json(fields)), fields)
 
     def derive(self, row: dict, key: str, fields: dict) -> dict:
-        past = self.history.get(row["scope"], History()).before(row["effective_at"], key, self.depth) if self.depth else []
+        have = self.history.get(row["scope"]) if self.depth else None
+        past = [dict(zip(self.read, p)) for p in have.before(row["effective_at"], key, self.depth)] if have else []
         seen = {**fields, "known_at": row["known_at"], "effective_at": row["effective_at"]}
         for name, tree in self.trees:
             value = expr.evaluate(tree, seen, past)
@@ -154,7 +190,7 @@ class Fold:
         out = {"outcome": "quarantined", "reason": None, "key": "", "revision": 0, "fields": row["fields"]}
         if row["parse_error"]:
             return out | {"reason": row["parse_error"]}
-        if row["known_at"] > self.now + self.skew:
+        if row["known_at"] is not None and row["known_at"] > self.now + self.skew:
             return out | {"reason": "known_at lies in the future"}
         fields = json.loads(row["fields"])
         key = build_key(self.schema, row, fields)
@@ -163,29 +199,52 @@ class Fold:
             fields = self.schema.checked(self.derive(row, key, fields))
         except ValueError as e:
             return out | {"reason": str(e)}
-        digest = sha256_text(canonical_json(fields))
+        text = canonical_json(fields)
+        digest = _digest(text)
         before = self.state.get(key)
         same = before is not None and before[1] == digest
-        if self.live and self.max_age is not None and row["effective_at"] < self.now - self.max_age and not same:
+        if self.live and self.max_age is not None and row["effective_at"] is not None and row["effective_at"] < self.now - self.max_age and not same:
             return out | {"reason": "too old to have been observed live"}
         if same:
-            return out | {"outcome": "duplicate", "revision": before[0], "fields": canonical_json(fields)}
+            return out | {"outcome": "duplicate", "revision": before[0], "fields": text}
         revision = (before[0] if before else 0) + 1
-        self.state[key] = revision, digest
-        if self.depth:
-            self.history.setdefault(row["scope"], History()).upsert(row["effective_at"], key, fields)
-        return out | {"outcome": "written", "revision": revision, "fields": canonical_json(fields)}
+        self.keep(row["scope"], key, row["effective_at"], revision, digest, fields)
+        return out | {"outcome": "written", "revision": revision, "fields": text}
 
 
 FOLDED = "scope string, effective_at long, known_at long, period_start long, period_end long, availability string, title string, arrival long, outcome string, reason string, key string, revision int, fields string"
 
+CARRIED = ("scope", "effective_at", "known_at", "period_start", "period_end", "availability", "title", "arrival")
+
+
+def folded(schema: DatasetSchema, now_ms: int, live: bool = False, max_age_ms: int | None = None):
+    """A function from batches of rows, by g and in arrival order, to batches of FOLDED: one batch and one group's Fold are held."""
+    names = [f.split()[0] for f in FOLDED.split(", ")]
+
+    def fold(batches):
+        state, g = None, None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if state is None or r["g"] != g:
+                    state, g = Fold(schema, now_ms, live, max_age_ms=max_age_ms), r["g"]
+                if r["stored"]:
+                    state.load(r["scope"], r["key"], r["effective_at"], r["revision"], json.loads(r["fields"]))
+                else:
+                    done = {c: r[c] for c in CARRIED} | state.step(r)
+                    out.append(tuple(done[n] for n in names))
+            if out:
+                yield arrow_batch(out, FOLDED)
+
+    return fold
+
 
 def ingest(candidates: DataFrame, schema: DatasetSchema, now_ms: int, live: bool = False, max_age_ms: int | None = None, journal: DataFrame | None = None) -> DataFrame:
     """Candidates (with `arrival`) -> outcome rows, by the general fold.
 
     Grouped by scope where the key holds the scope, else by the dataset as a whole, as keys then cross scopes.
-    Arrival ties are settled by (known_at, effective_at, key). A group is folded in memory: history-bearing
-    datasets are small by nature; the ones that are not have no lookback and take assign_revisions().
+    Arrival ties are settled by (known_at, effective_at) and the row's text. A task sorts its groups (on disk, where
+    they are large) and folds them row by row: it holds what Fold keeps of each key of one group, not the rows.
     Of the journal a fold meets one row a key, its latest revision, and only the groups that have candidates.
     """
     by_scope = "scope" in schema.key
@@ -198,15 +257,5 @@ def ingest(candidates: DataFrame, schema: DatasetSchema, now_ms: int, live: bool
         kept = kept.withColumn("stored", F.lit(True)).withColumn("title", F.lit(None).cast("string")).withColumn("parse_error", F.lit(None).cast("string"))
         rows = rows.unionByName(kept.select(*rows.columns))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = Fold(schema, now_ms, live, max_age_ms=max_age_ms), []
-        for r in pdf.sort_values(["stored", "arrival", "known_at", "effective_at"], ascending=[False, True, True, True]).to_dict("records"):
-            if r["stored"]:
-                state.load(r["scope"], r["key"], r["effective_at"], r["revision"], json.loads(r["fields"]))
-            else:
-                out.append({k: r[k] for k in ("scope", "effective_at", "known_at", "period_start", "period_end", "availability", "title", "arrival")} | state.step(r))
-        names = [f.split()[0] for f in FOLDED.split(", ")]
-        got = pd.DataFrame(out, columns=names)
-        return got.astype({"period_start": "Int64", "period_end": "Int64"})
-
-    return rows.groupBy("g").applyInPandas(fold, FOLDED)
+    order = [F.desc("stored"), *[F.asc_nulls_last(c) for c in ("arrival", "known_at", "effective_at", "scope", "title", "fields")]]
+    return rows.repartition("g").sortWithinPartitions("g", *order).mapInArrow(folded(schema, now_ms, live, max_age_ms), FOLDED)

@@ -7,13 +7,12 @@ import json
 import struct
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canon import NULL_I64, canonical_json, decimal_text, month_bounds, utc_month
 from ..model import AVAILABILITY, CANONICAL_ORDER, StoreError
-from ..runtime import placed, stored
+from ..runtime import arrow_batch, placed, stored
 from ..sources.schema import DatasetSchema, parse_schema
 
 # Fixed values of the binary form.
@@ -195,12 +194,6 @@ def _cut(month, section: int, at: int, items: int, data: bytes) -> list[tuple]:
     return [(month, section, at, k, items if o + PIECE_BYTES >= len(data) else 0, data[o : o + PIECE_BYTES]) for k, o in enumerate(range(0, len(data), PIECE_BYTES))]
 
 
-def _batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
-    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    names, kinds = zip(*[f.split() for f in kind.split(", ")])
-    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows), kinds)], names=list(names))
-
-
 def _heads(schema: DatasetSchema):
     """Rows of (month, records, a count for each dictionary) -> the header's piece and those of the counts."""
 
@@ -214,7 +207,7 @@ def _heads(schema: DatasetSchema):
                 out.append((r["month"], 0, 0, 0, r["records"], b"".join(head)))
                 out += [(r["month"], 1 + k, -1, 0, r[d], struct.pack("<i", r[d])) for k, d in enumerate(DICTIONARIES)]
             if out:
-                yield _batch(out, PIECE)
+                yield arrow_batch(out, PIECE)
 
     return one
 
@@ -242,7 +235,7 @@ def _words(batches):
                 at += 4 + n
             out += _cut(month[a], 1 + d[a], place[a], e - a, data)
         if out:
-            yield _batch(out, PIECE)
+            yield arrow_batch(out, PIECE)
 
 
 def _values(schema: DatasetSchema):
@@ -267,7 +260,7 @@ def _values(schema: DatasetSchema):
                         raise StoreError(f"{c} reads back otherwise")
                     out += _cut(rows["month"][a], 1 + len(DICTIONARIES) + k, rows["place"][a], e - a, data)
             if out:
-                yield _batch(out, PIECE)
+                yield arrow_batch(out, PIECE)
 
     return one
 
@@ -325,7 +318,7 @@ def sealed(parts: DataFrame, schema: DatasetSchema) -> DataFrame:
                 raise StoreError("snapshot ends too soon")
             trailer = h.digest()
             h.update(trailer)
-            return _batch([(month, records, h.hexdigest(), trailer)], SEALED)
+            return arrow_batch([(month, records, h.hexdigest(), trailer)], SEALED)
 
         for b in batches:
             for m, s, at, part, n, content in zip(*[c.to_pylist() for c in b.columns]):

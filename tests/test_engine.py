@@ -479,3 +479,36 @@ def test_windows_are_encoded_in_pieces(spark, monkeypatch):
             snapshot.sealed(parts.where(f"not (month = '2023-11' and {lost})"), s).collect()
     with pytest.raises(Exception, match="rows of another dataset"):
         snapshot.encoded(j.withColumn("dataset", F.lit("mkt.other.x")), validate.EXAMPLE_TEXT).collect()
+
+
+def test_fold_streams_and_keeps_what_it_reads(spark, monkeypatch):
+    """Rows come out before later ones are read; a key keeps only what derived fields read; blocks are as one sorted list."""
+    s = schema.parse_schema(validate.FOLD_TEXT, overflow="round_half_even_8")
+    kind = "g string, stored string, scope string, effective_at long, known_at long, period_start long, period_end long, availability string, title string, fields string, parse_error string, arrival long"
+    read = []
+
+    def batches():
+        for n in range(6):
+            read.append(n)
+            yield runtime.arrow_batch([(f"U{n // 3}", None, f"U{n // 3}", T0 + k * 100 - n, T0 + k, None, None, "derived", None, f'{{"user":"{k}","value":"{k * k % 7 + n}"}}', None, n * 50 + k) for k in range(50)], kind)
+
+    done = revise.folded(s, 1 << 60)(batches())
+    assert next(done).num_rows == 50 and read == [0]
+    assert [b.num_rows for b in done] == [50] * 5 and read == list(range(6))
+    assert list(revise.folded(s, 1 << 60)(iter([]))) == []
+    fold = revise.Fold(s, 1 << 60, False)
+    fold.step({"parse_error": None, "known_at": T0, "effective_at": T0, "scope": "U", "fields": '{"user":"x","value":"2"}'})
+    assert fold.read == ["change", "value"] and fold.history["U"].payloads() == [(None, "2")]
+    events = spark.createDataFrame([(0, "2024-01-01", 3, 1.5)], "event_id long, ts string, user_id long, value double").withColumn("ts", F.to_timestamp("ts"))
+    assert "FlatMapGroups" not in validate.example_ingest(events)._jdf.queryExecution().toString()
+
+    monkeypatch.setattr(revise.History, "BLOCK", 4)
+    r, h, plain = random.Random(8), revise.History(), {}
+    for n in range(3000):
+        at, key = r.choice([None, *range(60)]), f"k{r.randint(0, 90 if n % 1000 < 700 else 5)}"
+        order = sorted((-(1 << 63) if a is None else a, k) for k, (a, _) in plain.items() if k != key)
+        end = [x for x in order if x < (-(1 << 63) if at is None else at, key)]
+        assert h.before(at, key, 7) == [plain[k][1] for _, k in end[-7:]]
+        h.upsert(at, key, n)
+        plain[key] = at, n
+    assert len(h.blocks) > 3 and len(h.blocks) == len(h.lows)
